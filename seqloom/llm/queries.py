@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, simhash, url_filter
+from . import bpe, minhash, mixing, quality_rules, simhash, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, table(spark, sf_dir, "pages"), "page_id", "url", url_filter.RULES)
 
@@ -24,13 +34,17 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.host_verdicts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix_sources, op4_url_filter, op7_fingerprints, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op3_warc, op4_url_filter, op7_fingerprints, op8_near_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op8_near_dedup": minhash.ORACLE_SQL, "op4_url_filter": url_filter.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
