@@ -324,3 +324,11 @@ g AS (SELECT x AS doc_id, min(y) AS root FROM r GROUP BY x)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(root, w.doc_id) AS component_id, (w.doc_id = coalesce(root, w.doc_id)) AS kept
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN g ON w.doc_id = g.doc_id
 """
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of near-duplicates, that with the smallest id; rows without an id stay. Rows with equal ids
+    are one document, of which one row stays."""
+    removed = near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(id_col).distinct()
+    kept = docs.where(F.col(id_col).isNotNull()).join(removed, id_col, "left_anti").dropDuplicates([id_col])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

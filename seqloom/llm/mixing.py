@@ -69,3 +69,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     more = (F.col("_p") > 0) & (F.col("_until") - F.col("size") / 2 <= F.col("_rest"))
     copies = F.col("_whole") + more.cast("long")
     return rows.select(F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Rows that are equal in all three columns count as one row that
+    is taken as often as all of them."""
+    key = F.struct(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(source_col))
+    rows = docs.withColumn("_key_row", key)
+    copies = mix(rows, "_key_row", text_col, source_col, **options).groupBy("_key_row").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    return rows.dropDuplicates(["_key_row"]).join(copies, "_key_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

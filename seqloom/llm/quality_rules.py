@@ -106,3 +106,20 @@ p AS (SELECT mu, CASE WHEN between_ > 1e-12 THEN least(greatest(mu * (1 - mu) /
 d AS (SELECT host, (f + mu * k) / (n + k) <= 0.5 AS host_kept FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND host_kept) AS kept FROM b JOIN d USING (host)
 """
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """The rows of docs that the rules and their host's verdict keep, as they are. Texts are read twice and, unless very
+    many hosts are rejected, never shuffled."""
+    rows = materialized(base_stats(docs, id_col, text_col, host_col), "rules")
+    hosts = rows.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("fails"))
+    alpha, beta = beta_prior(hosts)
+    rejected = materialized(hosts.where((F.col("fails") + alpha) / (F.col("n") + alpha + beta) > max_rate).select("_host"), "rejected")
+    place = docs.columns.index(text_col)
+
+    def passing(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stats = [text_stats(x) for x in batch.column(place).to_pylist()]
+        return batch.filter(pa.array([s[0] >= 20 and 100 * s[4] <= 30 * s[0] for s in stats], pa.bool_()))
+
+    passed = map_batches(docs, passing, docs.schema)
+    return passed.withColumn("_host", key_of(F.col(host_col))).join(rejected, "_host", "left_anti").select(*docs.columns)
