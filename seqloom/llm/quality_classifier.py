@@ -50,7 +50,7 @@ def with_statistics(rows: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
     rows = rows.withColumn("_words", F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
     found = statistics(F.col(text))
     names = [f"_stat_{k}" for k in found]
-    return rows.withColumns(dict(zip(names, found.values(), strict=True))).drop("_words"), names
+    return rows.withColumns({n: F.coalesce(c, F.lit(0.0)) for n, c in zip(names, found.values(), strict=True)}).drop("_words"), names
 
 
 def grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], depth: int, rng: np.random.Generator, path: Rule = ()) -> list[Rule]:
@@ -116,7 +116,7 @@ class RuleModel:
         return 1 / (1 + F.exp(-total))
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, depth: int = 3, penalty: float = 0.001, seed: int = 5) -> RuleModel:
+def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, depth: int = 3, penalty: float = 0.002, seed: int = 5) -> RuleModel:
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
         return RuleModel(names, [], [], float(np.log(share / (1 - share))))
