@@ -6,8 +6,8 @@ copy of p without v takes over as the target of u, and each state with an arc u
 is kept as its parent and the arc it lacks, and a new token's arcs as "where u is", so a gadget takes constant memory and
 whether a state has an arc is found by walking back over the gadgets; found transitions go to a table.
 
-A text is encoded word by word: each prefix of a word has one path from the start, so the states after each prefix
-follow from the states before, over the tokens that end there. Decoding emits the labels of the arcs.
+A text is encoded word by word: a word has one path from the start, which is followed by the table. Decoding emits the
+labels of the arcs.
 
 Defined results: a null text is encoded as an empty one, with no tokens; strings of added tokens in a text become their
 token; repeated rows give repeated results; an empty table gives an empty table. Only the named columns are read.
@@ -48,11 +48,11 @@ class TokenAutomaton:
         self.made = dict.fromkeys(self.ids.values(), -1)
         self.target = dict.fromkeys(self.ids.values(), 0)
         self.parent, self.lacks, self.born = [-1], [-1], [0]
-        self.longest = 1
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         for step, (u, v) in enumerate(merges, 1):
             self._gadget(step, u, v, tokens)
-        self.table.clear()
+        # labels by their bytes, and -1 for the beginnings of labels
+        self.arcs = {x[:k]: -1 for x in self.ids for k in range(1, len(x))} | self.ids
 
     def _gadget(self, step: int, u: bytes, v: bytes, tokens: dict[bytes, int]) -> None:
         a, b, whole = self.ids.get(u), self.ids.get(v), u + v
@@ -66,7 +66,6 @@ class TokenAutomaton:
         self.lacks.append(b)
         self.born.append(step)
         self.target[a] = len(self.parent) - 1
-        self.longest = max(self.longest, len(whole))
 
     def _walk(self, state: int, token: int) -> bool:
         """Whether the state has the arc. Of a token made after the state was, the arc is there if its first part's is;
@@ -80,31 +79,43 @@ class TokenAutomaton:
                 state = self.parent[state]
         return True
 
-    def step(self, state: int, token: int) -> bool:
-        key = (state, token)
-        if (known := self.table.get(key)) is None:
-            if len(self.table) >= KEPT_ARCS:
-                self.table.clear()
-            known = self.table[key] = self._walk(state, token)
-        return known
-
     def encode(self, word: bytes) -> tuple[int, ...]:
-        states, came = [0], [0]
-        ids, target, step, longest = self.ids, self.target, self.step, self.longest
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end])
-                if token is not None and step(states[start], token):
-                    states.append(target[token])
-                    came.append(token)
+        """The labels' ids on the one path for the word: from each state, the longest token that has an arc there is tried
+        first; a place that was left without success isn't entered again from the same token."""
+        n, arcs, target, table = len(word), self.arcs, self.target, self.table
+        path: list[int] = []
+        ends: list[int] = []
+        tries: list[list[tuple[int, int]]] = []
+        left: set[tuple[int, int]] = set()
+        at, state = 0, 0
+        while at < n:
+            found = []
+            end = at + 1
+            while end <= n and (token := arcs.get(word[at:end])) is not None:
+                if token >= 0:
+                    found.append((token, end))
+                end += 1
+            tries.append(found)
+            while True:
+                while tries and not tries[-1]:
+                    tries.pop()
+                    if not path:
+                        raise ValueError(f"no path for {word!r}")
+                    token = path.pop()
+                    left.add((token, ends.pop()))
+                    state = target[path[-1]] if path else 0
+                token, end = tries[-1].pop()
+                key = state << 20 | token
+                if (known := table.get(key)) is None:
+                    if len(table) >= KEPT_ARCS:
+                        table.clear()
+                    known = table[key] = self._walk(state, token)
+                if known and (token, end) not in left:
                     break
-            else:
-                raise ValueError(f"no path for {word[:end]!r}")
-        out, end = [], len(word)
-        while end:
-            out.append(token := came[end])
-            end -= len(self.labels[token])
-        return tuple(reversed(out))
+            path.append(token)
+            ends.append(end)
+            at, state = end, target[token]
+        return tuple(path)
 
 
 class Coder:
@@ -116,6 +127,23 @@ class Coder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.labels = automaton.labels | {i: x.encode() for x, i in added.items()}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self):
+        return self.automaton, self.added, self.find.__self__.pattern
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Words found lately are kept: when the newer half is full, the older one goes."""
+        if (ids := self.older.get(word)) is None:
+            ids = self.automaton.encode(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= 64:
+            if len(self.known) >= KEPT_WORDS:
+                self.older, self.known = self.known, {}
+            self.known[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
@@ -123,14 +151,9 @@ class Coder:
             if k % 2:
                 out.append(self.added[part])
                 continue
+            known = self.known
             for word in self.find(part):
-                if (ids := self.known.get(word)) is None:
-                    if len(self.known) >= KEPT_WORDS:
-                        self.known.clear()
-                    ids = self.automaton.encode(word.encode("utf-8", "surrogatepass"))
-                    if len(word) <= 64:
-                        self.known[word] = ids
-                out += ids
+                out += known.get(word) or self._word(word)
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
