@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def revcomp(s: str) -> str:
     return s.translate(_SWAP)[::-1]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it: as the only element of a transformed array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def complement(q: Column) -> Column:
     return F.translate(q, LETTERS, COMPLEMENTS)
 

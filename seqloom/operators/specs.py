@@ -330,12 +330,16 @@ class UniquifyAllKmers(Spec):
         return (-F.aggregate(F.array_sort(self.words(q)), start, step)["n"]).cast("double")
 
     def locations(self, q: Column) -> Column:
-        words = self.words(q)
-        placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-        before = F.concat(F.array(F.struct(F.lit("").alias("w"), F.lit(-1).alias("i"))), placed)
-        after = F.slice(placed, 2, 1 << 30)
-        same = F.zip_with(F.zip_with(placed, before, lambda x, y: F.struct(x.alias("x"), (x["w"] == y["w"]).alias("s"))), after, lambda x, y: F.struct(x["x"].alias("x"), (x["s"] | F.coalesce(x["x"]["w"] == y["w"], F.lit(False))).alias("s")))
-        hits = F.array_sort(F.transform(F.filter(same, lambda x: x["s"] & x["x"].isNotNull()), lambda x: x["x"]["i"]))
+        start = F.array(F.struct(F.lit("").alias("w"), F.lit(-1).alias("i")))
+
+        def repeated(placed: Column) -> Column:
+            """Whether each of the sorted words is equal to the one before or behind it."""
+            with_before = F.zip_with(placed, F.concat(start, placed), lambda x, y: F.struct(x.alias("x"), (x["w"] == y["w"]).alias("s")))
+            with_both = F.zip_with(with_before, F.slice(placed, 2, 1 << 30), lambda x, y: F.struct(x["x"].alias("x"), (x["s"] | F.coalesce(x["x"]["w"] == y["w"], F.lit(False))).alias("s")))
+            return F.transform(F.filter(with_both, lambda x: x["s"] & x["x"].isNotNull()), lambda x: x["x"]["i"])
+
+        placed = F.array_sort(F.transform(self.words(q), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        hits = F.array_sort(dna.let(placed, repeated))
         return self.upright_column(F.transform(hits, lambda i: location(i, i + self.k)))
 
     def measure(self, s: str):
@@ -643,6 +647,11 @@ class AvoidStopCodons(CodonSpec):
 Usage = dict[str, float]
 
 
+def _one(fn: Callable) -> Callable[[Column], Column]:
+    """fn with one argument only, as array functions tell their arguments by number."""
+    return lambda x: fn(x)
+
+
 def by_amino_acid(usage: Usage) -> dict[str, dict[str, float]]:
     out: dict[str, dict[str, float]] = defaultdict(dict)
     for c, a in GENETIC_CODE.items():
@@ -727,15 +736,17 @@ class MatchTargetCodonUsage(CodonUsageSpec):
     """Minus the difference between the codons' shares in the sequence and in the table, weighted by amino acid counts."""
 
     def score(self, q: Column) -> Column:
-        """Counts of the 64 codons by array operations; no row leaves its partition."""
-        words = self.codons(q)
-        total = F.lit(0.0)
-        count = lambda c: F.size(F.filter(words, lambda w: w == c)).cast("double")
-        for group in by_amino_acid(self.table).values():
-            n = F.size(F.filter(words, lambda w, g=tuple(group): w.isin(*g))).cast("double")
-            apart = sum((F.abs(count(c) - n * f) for c, f in group.items()), F.lit(0.0))
-            total = total + F.when(n > 0, apart).otherwise(0.0)
-        return -total
+        """Counts of the codons and amino acids that are there, by array operations; no row leaves its partition."""
+
+        def distance(words: Column) -> Column:
+            total = F.lit(0.0)
+            count = lambda group: F.size(F.filter(words, lambda w: w.isin(*group))).cast("double")
+            for group in by_amino_acid(self.table).values():
+                apart = lambda n, group=group: sum((F.abs(count([c]) - n * f) for c, f in group.items()), F.lit(0.0))
+                total = total + dna.let(count(list(group)), _one(lambda n, apart=apart: F.when(n > 0, apart(n)).otherwise(0.0)))
+            return total
+
+        return -dna.let(self.codons(q), distance)
 
     def over(self, words: list[str]) -> set[str]:
         n = Counter(words)
@@ -743,9 +754,11 @@ class MatchTargetCodonUsage(CodonUsageSpec):
         return {c for c in n if n[c] > of[GENETIC_CODE[c]] * self.table.get(c, 0.0)}
 
     def locations(self, q: Column) -> Column:
-        words = self.codons(q)
         table, code = dna.mapping({c: self.table.get(c, 0.0) for c in GENETIC_CODE}), dna.mapping(GENETIC_CODE)
-        return self.codon_places(self.where(q, lambda c, i: F.size(F.filter(words, lambda w: w == c)) > F.size(F.filter(words, lambda w: F.element_at(code, w) == F.element_at(code, c))) * F.element_at(table, c)))
+        n = lambda words, same: F.size(F.filter(words, same))
+        over = lambda words, c: n(words, lambda w: w == c) > n(words, lambda w: F.element_at(code, w) == F.element_at(code, c)) * F.element_at(table, c)
+        at = dna.let(self.codons(q), lambda words: F.transform(words, lambda c, i: F.when(over(words, c), i)))
+        return self.codon_places(F.filter(at, lambda x: x.isNotNull()))
 
     def measure(self, s: str):
         words = self.codon_list(s)
