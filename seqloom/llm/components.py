@@ -15,15 +15,20 @@ def components(links: DataFrame) -> DataFrame:
     Labels only fall, so it ends; shortcuts make the rounds grow with the logarithm of a chain's length. Each round is
     written to the shared folder. A label that many nodes hold is dealt over several tasks; only a count comes to the
     driver."""
-    both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialized(both, "links")
-    labels = materialized(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    links = materialized(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+    def least_near(edges: DataFrame) -> DataFrame:
+        """The smallest label m at each node's edges(a, b, m)."""
+        sides = [edges.select(F.col(side).alias("node"), "m") for side in ("a", "b")]
+        return sides[0].unionByName(sides[1]).groupBy("node").agg(F.min("m").alias("m"))
+
+    labels = materialized(least_near(links.withColumn("m", F.col("a"))).withColumnRenamed("m", "component"), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        parents = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        roots = parents.where("up < component")
-        salted = with_groups(step.select("node", "old", "component"), roots, "component", F.col("node"), 8).select("node", F.col("up").alias("jump"))
+        own = lambda side, name: labels.select(F.col("node").alias(side), F.col("component").alias(name))  # noqa: B023, E731
+        edges = links.join(own("a", "_m"), "a").join(own("b", "_n"), "b").select("a", "b", F.least("_m", "_n").alias("m"))
+        step = labels.join(least_near(edges), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
+        roots = labels.where("component < node").select(F.col("node").alias("component"), F.col("component").alias("jump"))
+        salted = with_groups(step, roots, "component", F.col("node"), 8).select("node", "jump")
         now = step.join(salted, "node", "left").select("node", "old", F.coalesce(F.least("component", "jump"), F.col("component")).alias("component"))
         now = materialized(now, "labels")
         if now.where("component < old").isEmpty():

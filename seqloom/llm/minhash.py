@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialized, partitions
 from .components import components
 
-TREES, DEPTH, LEAST, REACH, BLOCK, BLOCKINGS = 12, 6, 3, 3, 1000, 3
+TREES, DEPTH, LEAST, REACH, BLOCK, BLOCKINGS = 12, 6, 3, 3, 400, 3
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -101,7 +101,8 @@ def near(tree: np.ndarray, key: np.ndarray, bits: np.ndarray, apart: int, least:
 
 
 def forest_candidates(reps: DataFrame, trees: int, depth: int, least: int, reach: int, likeness: float) -> DataFrame:
-    """a, b: neighbours in some tree's order. Each range's first and last `reach` rows go to the driver, which compares
+    """a, b: neighbours in some tree's order, without those that a range's other pairs connect already, so that a region of n
+    texts gives fewer than n pairs a tree. Each range's first and last `reach` rows go to the driver, which compares
     them across ranges: their number is that of the ranges, whatever the input."""
     spark, kind = reps.sparkSession, reps.schema["_id"].dataType.simpleString()
     orders = reps.select("_id", "bits", F.posexplode(F.array(*[F.substring("vals", 4 * depth * t + 1, 4 * depth) for t in range(trees)])).alias("tree", "key"))
@@ -113,7 +114,7 @@ def forest_candidates(reps: DataFrame, trees: int, depth: int, least: int, reach
         part = TaskContext.get().partitionId()
         schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("tree", pa.int32()), ("key", pa.binary()), ("bits", pa.binary()), ("a", ids_type), ("b", ids_type)])
         carry: pa.RecordBatch | None = None
-        at, new = 0, 0
+        at, new, parts = 0, 0, Parts()
 
         def border(rows: pa.RecordBatch, first: int) -> pa.RecordBatch:
             n = rows.num_rows
@@ -131,6 +132,8 @@ def forest_candidates(reps: DataFrame, trees: int, depth: int, least: int, reach
                 if both.num_rows > apart:
                     i = near(tree, key, bits, apart, least, likeness)
                     i = i[i + apart >= new]
+                    ids = both.column(2)
+                    i = i[[parts.join(a, b) for a, b in zip(ids.take(pa.array(i)).to_pylist(), ids.take(pa.array(i + apart)).to_pylist(), strict=True)]] if len(i) else i
                     n = len(i)
                     if n:
                         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), both.column(2).take(pa.array(i)), both.column(2).take(pa.array(i + apart))], schema=schema)
@@ -159,6 +162,25 @@ def forest_candidates(reps: DataFrame, trees: int, depth: int, least: int, reach
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+class Parts:
+    """Union-find over any ids; holds those that were joined."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = self.up[y]
+            x = self.up[x]
+        return x
+
+    def join(self, a, b) -> bool:
+        """Whether they were apart so far."""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
+
+
 class Groups:
     """Union-find over 0..n-1; the root is the smallest."""
 
@@ -264,7 +286,8 @@ def linked(clusters: DataFrame, texts: DataFrame, width: int, percent: int, bloc
     ways = F.when(F.col("size") <= block, F.array(F.lit(0))).otherwise(F.array(*[F.pmod(F.xxhash64(F.lit(k), F.col("_id")), parts).cast("int") + 1 + k * (1 << 20) for k in range(BLOCKINGS)]))
     name = F.concat_ws("/", F.col("component").cast("string"), F.col("place").cast("string"))
     kind = clusters.schema["node"].dataType.simpleString()
-    held = materialized(placed.join(texts, "_id"), "members")
+    # dealt by id at every size: the members may be many
+    held = materialized(placed.hint("merge").join(texts, "_id"), "members")
     first = materialized(resolve(held.select("_id", "component", F.explode(ways).alias("place"), "_text").select(name.alias("key"), "_id", F.lit(None).cast(kind).alias("known"), "_text"), width, percent), "resolved")
     if many.isEmpty():
         return first.select(F.col("_id").alias("node"), F.col("root").alias("component"))
