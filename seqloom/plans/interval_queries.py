@@ -10,12 +10,11 @@ from ..sources.sequences import digest_sequences
 from . import sql
 from .registry import query
 
-Q = F.col("q")
 
 
 def at_word(spark, sf_dir, word: str, left: int, right: int):
     """seq_id, start and end around each place of a word."""
-    rows = digest_sequences(spark, sf_dir).select("seq_id", F.explode(pattern(word).locations(Q, 1)).alias("x"))
+    rows = digest_sequences(spark, sf_dir).select("seq_id", F.explode(pattern(word).locations(F.col("q"), 1)).alias("x"))
     return rows.select("seq_id", F.greatest(F.lit(0), F.col("x.start") - left).cast("long").alias("start"), F.least(F.lit(64), F.col("x.start") + right).cast("long").alias("end"))
 
 
@@ -37,7 +36,7 @@ def merge_intervals(spark, sf_dir):
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY seq_id ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS k FROM f), m AS (SELECT seq_id, min(start) AS a, max(e) AS b FROM g GROUP BY seq_id, k) SELECT seq_id, count(*)::BIGINT AS n, sum(b - a)::BIGINT AS covered FROM m GROUP BY seq_id""".replace("AS end", 'AS "end"'))
 def merged_coverage(spark, sf_dir):
     """The same merging within the row, without a shuffle: how many places, and the bases they cover."""
-    places = F.transform(pattern("CG").locations(Q, 1), lambda x: iv.location(x["start"], F.least(F.lit(64), x["start"] + 6)))
+    places = F.transform(pattern("CG").locations(F.col("q"), 1), lambda x: iv.location(x["start"], F.least(F.lit(64), x["start"] + 6)))
     rows = digest_sequences(spark, sf_dir).select("seq_id", iv.merged(places).alias("m")).where("size(m) > 0")
     return rows.select("seq_id", F.size("m").cast("long").alias("n"), F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"])).alias("covered"))
 
@@ -55,7 +54,7 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY seq_id ORDER BY i ROWS UNBOUNDED P
 @query(f"{_GAPS} SELECT seq_id, min(i)::BIGINT AS first, max(i)::BIGINT AS last, count(*)::BIGINT AS n FROM g GROUP BY seq_id, k")
 def group_by_gap(spark, sf_dir):
     """Runs of G that are less than 4 apart, as rows."""
-    rows = digest_sequences(spark, sf_dir).select("seq_id", F.explode(pattern("G").locations(Q, 1)).alias("x")).select("seq_id", F.col("x.start").cast("long").alias("at"))
+    rows = digest_sequences(spark, sf_dir).select("seq_id", F.explode(pattern("G").locations(F.col("q"), 1)).alias("x")).select("seq_id", F.col("x.start").cast("long").alias("at"))
     return iv.group_rows(rows, ["seq_id"], "at", 4)
 
 
@@ -64,7 +63,7 @@ s AS (SELECT seq_id, k, i, i AS first FROM o WHERE k = 1 UNION ALL SELECT o.seq_
 SELECT seq_id, first::BIGINT AS first, max(i)::BIGINT AS last, count(*)::BIGINT AS n FROM s GROUP BY seq_id, first""")
 def group_by_spread(spark, sf_dir):
     """Runs of G less than 6 apart that spread over less than 12: greedy from the left, within the row."""
-    at = F.transform(pattern("G").locations(Q, 1), lambda x: x["start"])
+    at = F.transform(pattern("G").locations(F.col("q"), 1), lambda x: x["start"])
     rows = digest_sequences(spark, sf_dir).select("seq_id", F.explode(iv.grouped(at, 6, 12)).alias("g"))
     end = lambda f: F.get(F.col("g"), f).cast("long")
     return rows.select("seq_id", end(F.lit(0)).alias("first"), end(F.size("g") - 1).alias("last"), F.size("g").cast("long").alias("n"))
@@ -78,7 +77,7 @@ def subdivide_windows(spark, sf_dir):
 
 @query(f"""{BASE}, {_at('CG', 0, 2, 'l')} SELECT seq_id, (l.start + 10)::BIGINT AS shifted, greatest(0, l.start - 5)::BIGINT AS left_, least(64, l."end" + 3)::BIGINT AS right_, greatest(l.start, 20)::BIGINT AS overlap_start FROM l WHERE greatest(l.start, 20) < least(l."end", 44)""".replace("AS end", 'AS "end"'))
 def location_arithmetic(spark, sf_dir):
-    rows = digest_sequences(spark, sf_dir).select("seq_id", F.explode(pattern("CG").locations(Q, 1)).alias("x"))
+    rows = digest_sequences(spark, sf_dir).select("seq_id", F.explode(pattern("CG").locations(F.col("q"), 1)).alias("x"))
     x, long = F.col("x"), lambda c, n: c.cast("long").alias(n)
     wide, common = iv.extended(x, 5, 3, upper=64), iv.overlap(x, iv.location(20, 44))
     return rows.where(common.isNotNull()).select("seq_id", long(iv.shifted(x, 10)["start"], "shifted"), long(wide["start"], "left_"), long(wide["end"], "right_"), long(common["start"], "overlap_start"))

@@ -28,12 +28,11 @@ from . import sql
 from .common import r6
 from .registry import query
 
-Q = F.col("q")
 
 
 @query(f"WITH {sql.seqs()} SELECT seq_id, {sql.r6(sql.gc('q'))} AS gc FROM seqs")
 def seq_gc_global(spark, sf_dir):
-    return digest_sequences(spark, sf_dir).select("seq_id", r6(dna.gc_fraction(Q)).alias("gc"))
+    return digest_sequences(spark, sf_dir).select("seq_id", r6(dna.gc_fraction(F.col("q"))).alias("gc"))
 
 
 GC_WINDOWS = f"""WITH {sql.seqs()}, {sql.kmers(20)}, g AS (SELECT seq_id, i, {sql.gc('w')} AS gc FROM words),
@@ -42,48 +41,48 @@ b AS (SELECT seq_id, i, greatest(0.0::DOUBLE, 0.3 - gc) + greatest(0.0::DOUBLE,
 
 @query(f"{GC_WINDOWS} SELECT seq_id, {sql.r6('-sum(bad)')} AS score FROM b GROUP BY seq_id")
 def seq_gc_window_score(spark, sf_dir):
-    return digest_sequences(spark, sf_dir).select("seq_id", r6(EnforceGCContent(0.3, 0.7, window=20).score(Q)).alias("score"))
+    return digest_sequences(spark, sf_dir).select("seq_id", r6(EnforceGCContent(0.3, 0.7, window=20).score(F.col("q"))).alias("score"))
 
 
 @query(f"{GC_WINDOWS} SELECT seq_id, min(i)::BIGINT AS start, (max(i) + 20)::BIGINT AS end FROM b WHERE bad > 0 GROUP BY seq_id")
 def seq_gc_window_breaches(spark, sf_dir):
     """Windows whose starts spread over less than 50 are one breach; in 64 bases all are."""
-    rows = digest_sequences(spark, sf_dir).select("seq_id", F.explode(EnforceGCContent(0.3, 0.7, window=20).locations(Q)).alias("x"))
+    rows = digest_sequences(spark, sf_dir).select("seq_id", F.explode(EnforceGCContent(0.3, 0.7, window=20).locations(F.col("q"))).alias("x"))
     return rows.select("seq_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
 
 
 @query(f"""WITH {sql.seqs()}, e AS (SELECT seq_id, {sql.gc('substr(q, 1, 15)')} AS a, {sql.gc('right(q, 15)')} AS b FROM seqs)
 SELECT seq_id, {sql.r6('-(greatest(0.0::DOUBLE, 0.4 - a) + greatest(0.0::DOUBLE, a - 0.6) + greatest(0.0::DOUBLE, 0.4 - b) + greatest(0.0::DOUBLE, b - 0.6))')} AS score FROM e""")
 def seq_terminal_gc(spark, sf_dir):
-    return digest_sequences(spark, sf_dir).select("seq_id", r6(EnforceTerminalGCContent(15, 0.4, 0.6).score(Q)).alias("score"))
+    return digest_sequences(spark, sf_dir).select("seq_id", r6(EnforceTerminalGCContent(15, 0.4, 0.6).score(F.col("q"))).alias("score"))
 
 
 @query(f"WITH {sql.docs()} SELECT seq_id, length(q)::BIGINT AS n, CASE WHEN length(q) BETWEEN 500 AND 800 THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM docs")
 def seq_length_bounds(spark, sf_dir):
-    return document_sequences(spark, sf_dir).select("seq_id", F.length("q").cast("long").alias("n"), SequenceLengthBounds(500, 800).score(Q).alias("score"))
+    return document_sequences(spark, sf_dir).select("seq_id", F.length("q").cast("long").alias("n"), SequenceLengthBounds(500, 800).score(F.col("q")).alias("score"))
 
 
 @query(f"WITH {sql.seqs()} SELECT seq_id, translate(q, 'ACGT', 'TGCA') AS complement, {sql.rc('q')} AS revcomp FROM seqs")
 def seq_revcomp(spark, sf_dir):
-    return digest_sequences(spark, sf_dir).select("seq_id", dna.complement(Q).alias("complement"), dna.reverse_complement(Q).alias("revcomp"))
+    return digest_sequences(spark, sf_dir).select("seq_id", dna.complement(F.col("q")).alias("complement"), dna.reverse_complement(F.col("q")).alias("revcomp"))
 
 
 @query(f"WITH {sql.seqs()} SELECT seq_id, substr(q, 11, 20) AS plus, {sql.rc('substr(q, 11, 20)')} AS minus FROM seqs")
 def seq_extract(spark, sf_dir):
-    return digest_sequences(spark, sf_dir).select("seq_id", dna.part(Q, 10, 30).alias("plus"), dna.part(Q, 10, 30, -1).alias("minus"))
+    return digest_sequences(spark, sf_dir).select("seq_id", dna.part(F.col("q"), 10, 30).alias("plus"), dna.part(F.col("q"), 10, 30, -1).alias("minus"))
 
 
 @query(f"""WITH {sql.seqs('abcd')}, {sql.kmers(6)}, m AS (SELECT seq_id, least(w, {sql.rc('w')}) AS m FROM words WHERE i + 6 < length(q)),
 c AS (SELECT seq_id, CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS n FROM m GROUP BY seq_id, m)
 SELECT seq_id, (0.0 - sum(n))::DOUBLE AS score FROM c GROUP BY seq_id""")
 def unique_kmers_score(spark, sf_dir):
-    return digest_sequences(spark, sf_dir, "abcd").select("seq_id", (UniquifyAllKmers(6).score(Q) + F.lit(0.0)).alias("score"))
+    return digest_sequences(spark, sf_dir, "abcd").select("seq_id", (UniquifyAllKmers(6).score(F.col("q")) + F.lit(0.0)).alias("score"))
 
 
 @query(f"""WITH {sql.seqs('abcd')}, {sql.kmers(6)}, m AS (SELECT seq_id, i, least(w, {sql.rc('w')}) AS m FROM words WHERE i + 6 < length(q))
 SELECT seq_id, i::BIGINT AS start FROM m QUALIFY count(*) OVER (PARTITION BY seq_id, m) > 1""")
 def unique_kmers_places(spark, sf_dir):
-    rows = digest_sequences(spark, sf_dir, "abcd").select("seq_id", F.explode(UniquifyAllKmers(6).locations(Q)).alias("x"))
+    rows = digest_sequences(spark, sf_dir, "abcd").select("seq_id", F.explode(UniquifyAllKmers(6).locations(F.col("q"))).alias("x"))
     return rows.select("seq_id", F.col("x.start").cast("long").alias("start"))
 
 
@@ -91,7 +90,7 @@ def unique_kmers_places(spark, sf_dir):
 SELECT seq_id, {sql.r6('-9.0 * sum(n)::DOUBLE / max(len)')} AS score FROM c GROUP BY seq_id""")
 def nonunique_kmer_density(spark, sf_dir):
     """Minus 9 times the share of places whose word isn't the only one."""
-    n = -UniquifyAllKmers(5, both_strands=False, last=True).score(Q)
+    n = -UniquifyAllKmers(5, both_strands=False, last=True).score(F.col("q"))
     return digest_sequences(spark, sf_dir).select("seq_id", r6(-9.0 * n / F.length("q")).alias("score"))
 
 
@@ -99,7 +98,7 @@ def nonunique_kmer_density(spark, sf_dir):
 h AS (SELECT DISTINCT a.seq_id, a.i FROM a JOIN words AS b ON a.seq_id = b.seq_id AND a.m = b.w AND b.i BETWEEN a.i + 5 AND a.i + 25)
 SELECT s.seq_id, (0.0 - count(h.i))::DOUBLE AS score FROM seqs AS s LEFT JOIN h ON s.seq_id = h.seq_id GROUP BY s.seq_id""")
 def hairpin_score(spark, sf_dir):
-    return digest_sequences(spark, sf_dir, "abcd").select("seq_id", (AvoidHairpins(5, 30).score(Q) + F.lit(0.0)).alias("score"))
+    return digest_sequences(spark, sf_dir, "abcd").select("seq_id", (AvoidHairpins(5, 30).score(F.col("q")) + F.lit(0.0)).alias("score"))
 
 
 # pairs of sequences: the second differs from the first in the places where a third one agrees with it
@@ -113,15 +112,14 @@ def pairs(spark, sf_dir):
     """seq_id, q and the edited sequence `edited`."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq_id"), *[digest_dna(F.col("o_orderkey"), s).alias(n) for s, n in (("ab", "q"), ("cd", "_s"), ("ef", "_t"))])
     third = F.zip_with(dna.letters(F.col("_s")), dna.letters(F.col("_t")), lambda s, t: F.when(s == t, s))
-    return rows.select("seq_id", "q", F.array_join(F.zip_with(dna.letters(Q), third, lambda a, b: F.coalesce(b, a)), "").alias("edited"))
+    return rows.select("seq_id", "q", F.array_join(F.zip_with(dna.letters(F.col("q")), third, lambda a, b: F.coalesce(b, a)), "").alias("edited"))
 
 
-EDITED = F.col("edited")
 
 
 @query(f"WITH {PAIRS} SELECT seq_id, count(*) FILTER (WHERE differs)::BIGINT AS edits FROM d GROUP BY seq_id")
 def edit_count(spark, sf_dir):
-    return pairs(spark, sf_dir).select("seq_id", dna.n_differences(Q, EDITED).alias("edits"))
+    return pairs(spark, sf_dir).select("seq_id", dna.n_differences(F.col("q"), F.col("edited")).alias("edits"))
 
 
 @query(f"""WITH {PAIRS}, e AS (SELECT seq_id, i, a, b, i - row_number() OVER (PARTITION BY seq_id ORDER BY i) AS g FROM d WHERE differs)
@@ -129,22 +127,22 @@ SELECT seq_id, min(i)::BIGINT AS start, (max(i) + 1)::BIGINT AS end, string_agg(
 def edit_segments(spark, sf_dir):
     from ..operators.intervals import segments
 
-    rows = pairs(spark, sf_dir).withColumn("x", F.explode(segments(dna.differences(Q, EDITED))))
-    old, new = (dna.part(c, F.col("x.start"), F.col("x.end")) for c in (Q, EDITED))
+    rows = pairs(spark, sf_dir).withColumn("x", F.explode(segments(dna.differences(F.col("q"), F.col("edited")))))
+    old, new = (dna.part(c, F.col("x.start"), F.col("x.end")) for c in (F.col("q"), F.col("edited")))
     return rows.select("seq_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), F.concat(old, F.lit("=>"), new).alias("label"))
 
 
 @query(f"WITH {PAIRS} SELECT seq_id, (6 - count(*) FILTER (WHERE differs AND i BETWEEN 8 AND 47))::DOUBLE AS score FROM d GROUP BY seq_id")
 def edit_budget_score(spark, sf_dir):
     """15 percent of a place of 40 bases may change: 6."""
-    spec = AvoidChanges(max_edits_percent=15, target=Q, place=(8, 48, 0))
-    return pairs(spark, sf_dir).select("seq_id", spec.score(EDITED).alias("score"))
+    spec = AvoidChanges(max_edits_percent=15, target=F.col("q"), place=(8, 48, 0))
+    return pairs(spark, sf_dir).select("seq_id", spec.score(F.col("edited")).alias("score"))
 
 
 @query(f"""WITH {PAIRS} SELECT seq_id, (count(*) FILTER (WHERE differs) - 20)::DOUBLE AS least, (0 - abs(count(*) FILTER (WHERE differs) - 16))::DOUBLE AS exact FROM d GROUP BY seq_id""")
 def change_target_score(spark, sf_dir):
-    least, exact = EnforceChanges(minimum_percent=30, target=Q), EnforceChanges(amount=16, target=Q)
-    return pairs(spark, sf_dir).select("seq_id", least.score(EDITED).alias("least"), exact.score(EDITED).alias("exact"))
+    least, exact = EnforceChanges(minimum_percent=30, target=F.col("q")), EnforceChanges(amount=16, target=F.col("q"))
+    return pairs(spark, sf_dir).select("seq_id", least.score(F.col("edited")).alias("least"), exact.score(F.col("edited")).alias("exact"))
 
 
 def _wrong(word: str, at: int) -> str:
@@ -155,12 +153,12 @@ def _wrong(word: str, at: int) -> str:
 
 @query(f"WITH {sql.seqs()} SELECT seq_id, (0 - ({_wrong('NRYSWKMBDHVACGT', 5)}))::DOUBLE AS score FROM seqs")
 def degenerate_sequence_score(spark, sf_dir):
-    return digest_sequences(spark, sf_dir).select("seq_id", EnforceSequence("NRYSWKMBDHVACGT", place=(5, 20, 0)).score(Q).alias("score"))
+    return digest_sequences(spark, sf_dir).select("seq_id", EnforceSequence("NRYSWKMBDHVACGT", place=(5, 20, 0)).score(F.col("q")).alias("score"))
 
 
 @query(f"WITH {sql.seqs()} SELECT seq_id, CASE WHEN substr(q, 11, 3) IN ('ATT', 'ATC', 'ATA', 'GGA', 'GGC', 'GGG', 'GGT') THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM seqs")
 def choice_membership(spark, sf_dir):
-    return digest_sequences(spark, sf_dir).select("seq_id", EnforceChoice(("ATH", "GGN"), place=(10, 13, 0)).score(Q).alias("score"))
+    return digest_sequences(spark, sf_dir).select("seq_id", EnforceChoice(("ATH", "GGN"), place=(10, 13, 0)).score(F.col("q")).alias("score"))
 
 
 _REGIONS = [(0, 16), (16, 32), (32, 48), (48, 64)]
@@ -172,7 +170,7 @@ SELECT a.seq_id, (0 - sum((hamming(a.p, b.p) < 11)::INT))::DOUBLE AS score FROM
 def region_pair_incompatibility(spark, sf_dir):
     """Each two of four regions should differ in 11 bases or more."""
     spec = EnforceRegionsCompatibility(regions=tuple((a, b, 0) for a, b in _REGIONS), column_condition=lambda a, b: dna.n_differences(a, b) >= 11)
-    return digest_sequences(spark, sf_dir).select("seq_id", (spec.score(Q) + F.lit(0.0)).alias("score"))
+    return digest_sequences(spark, sf_dir).select("seq_id", (spec.score(F.col("q")) + F.lit(0.0)).alias("score"))
 
 
 _HEAT = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in ALL_STACKS.items())
@@ -185,7 +183,7 @@ SELECT seq_id, round(1000 * (t.h + x.h + y.h) / (t.s + x.s + y.s + 0.368 * 31 *
   round(10.0 - abs(1000 * (t.h + x.h + y.h) / (t.s + x.s + y.s + 0.368 * 31 * ln(0.05::DOUBLE) + 1.987 * ln(50e-9::DOUBLE / 4)) - 273.15 - 60), 4) AS score
 FROM t JOIN en AS x ON x.b = left(q, 1) JOIN en AS y ON y.b = right(q, 1)""")
 def melting_temperature_score(spark, sf_dir):
-    return digest_sequences(spark, sf_dir, "a").select("seq_id", F.round(melting_temperature(Q), 4).alias("tm"), F.round(EnforceMeltingTemperature(50, 70).score(Q), 4).alias("score"))
+    return digest_sequences(spark, sf_dir, "a").select("seq_id", F.round(melting_temperature(F.col("q")), 4).alias("tm"), F.round(EnforceMeltingTemperature(50, 70).score(F.col("q")), 4).alias("score"))
 
 
 #: What a maker of DNA asks for, by column.
@@ -246,7 +244,7 @@ def circular_sites(spark, sf_dir):
     """Sites of circular sequences, those across the origin too, once each."""
     from ..operators.patterns import pattern
 
-    return digest_sequences(spark, sf_dir).select("seq_id", pattern("EcoRI_site").count(batch.circular(Q, 6)).alias("sites"))
+    return digest_sequences(spark, sf_dir).select("seq_id", pattern("EcoRI_site").count(batch.circular(F.col("q"), 6)).alias("sites"))
 
 
 @query(f"""WITH {PAIRS}, e AS (SELECT seq_id, count(*) FILTER (WHERE differs) AS edits FROM d GROUP BY seq_id),
