@@ -11,26 +11,28 @@ from .common import materialized, with_groups
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) for each node of links(a, b).
 
-    A round gives each node the smallest label among itself and its neighbours, then the label of that label's node.
-    Labels only fall, so it ends; shortcuts make the rounds grow with the logarithm of a chain's length. Each round is
-    written to the shared folder. A label that many nodes hold is dealt over several tasks; only a count comes to the
-    driver."""
-    links = materialized(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-
-    def least_near(edges: DataFrame) -> DataFrame:
-        """The smallest label m at each node's edges(a, b, m)."""
-        sides = [edges.select(F.col(side).alias("node"), "m") for side in ("a", "b")]
-        return sides[0].unionByName(sides[1]).groupBy("node").agg(F.min("m").alias("m"))
-
-    labels = materialized(least_near(links.withColumn("m", F.col("a"))).withColumnRenamed("m", "component"), "labels")
+    Each node takes the smallest label next to it. Then links are drawn between labels instead of nodes, and what has
+    become one label is left out, until no link is left: the links shrink fast, whatever the size of a component, and
+    the rounds grow with the logarithm of a chain's length. Each round is written to the shared folder. A label that
+    many nodes hold is dealt over several tasks; only whether links are left comes to the driver."""
+
+    def drawn(edges: DataFrame) -> DataFrame:
+        return materialized(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+    def lowered(edges: DataFrame) -> DataFrame:
+        """node and the smallest node at its edges or itself."""
+        return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("low")).distinct()).groupBy("node").agg(F.min("low").alias("low"))
+
+    links = drawn(links)
+    labels = materialized(lowered(links).withColumnRenamed("low", "component"), "labels")
+    step = labels.select("node", F.col("component").alias("low"))
     while True:
-        own = lambda side, name: labels.select(F.col("node").alias(side), F.col("component").alias(name))  # noqa: B023, E731
-        edges = links.join(own("a", "_m"), "a").join(own("b", "_n"), "b").select("a", "b", F.least("_m", "_n").alias("m"))
-        step = labels.join(least_near(edges), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        roots = labels.where("component < node").select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        salted = with_groups(step, roots, "component", F.col("node"), 8).select("node", "jump")
-        now = step.join(salted, "node", "left").select("node", "old", F.coalesce(F.least("component", "jump"), F.col("component")).alias("component"))
-        now = materialized(now, "labels")
-        if now.where("component < old").isEmpty():
-            return now.select("node", "component")
-        labels = now.select("node", "component")
+        at = lambda side: step.select(F.col("node").alias(side), F.col("low").alias(f"_{side}"))  # noqa: B023, E731
+        links = drawn(links.join(at("a"), "a").join(at("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        if links.isEmpty():
+            return labels
+        step = lowered(links)
+        up = step.where("low < node")
+        step = materialized(step.join(up.select(F.col("node").alias("low"), F.col("low").alias("_up")), "low", "left").select("node", F.coalesce("_up", "low").alias("low")), "step")
+        moved = with_groups(labels, step.where("low < node").select(F.col("node").alias("component"), "low"), "component", F.col("node"), 8).select("node", "low")
+        labels = materialized(labels.join(moved, "node", "left").select("node", F.coalesce("low", "component").alias("component")), "labels")
