@@ -15,6 +15,7 @@ from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +64,9 @@ class Spec:
     def span(self, s: str) -> tuple[int, int]:
         return (0, len(s)) if self.place is None else self.place[:2]
 
+    def span_column(self, q: Column) -> tuple:
+        return (0, F.length(q)) if self.place is None else self.place[:2]
+
     @property
     def offset(self) -> int:
         return self.place[0] if self.place else 0
@@ -180,6 +184,9 @@ class EnforcePatternOccurence(AvoidPattern):
     def score(self, q: Column) -> Column:
         return (-F.abs(self.count(q) - self.occurences)).cast("double")
 
+    def locations(self, q: Column) -> Column:
+        return F.array(location(*self.span_column(q), self.on))
+
     def measure(self, s: str):
         return float(-abs(len(self.found(s)) - self.occurences)), [(*self.span(s), self.on)]
 
@@ -781,6 +788,17 @@ class HarmonizeRCA(CodonUsageSpec):
         apart = F.zip_with(self.codons(q), before, lambda a, b: F.abs(there(b) - here(a)))
         return -F.aggregate(apart, F.lit(0.0), lambda t, x: t + x)
 
+    def nearest(self) -> Usage:
+        """For each original codon, the least difference that some synonym of it has here."""
+        here, there = relative_adaptiveness(self.table), relative_adaptiveness(dict(self.original_usage))
+        return {c: min(abs(there[c] - here[x]) for x in synonyms(a)) for c, a in GENETIC_CODE.items()}
+
+    def locations(self, q: Column) -> Column:
+        here, there, least = self.lookup(relative_adaptiveness(self.table)), self.lookup(relative_adaptiveness(dict(self.original_usage))), self.lookup(self.nearest())
+        before = self.codons(self.original if isinstance(self.original, Column) else F.lit(self.original))
+        far = F.zip_with(self.codons(q), before, lambda a, b: F.abs(there(b) - here(a)) > least(b))
+        return self.codon_places(F.filter(F.transform(far, lambda x, i: F.when(x, i)), lambda x: x.isNotNull()))
+
     def bound(self, s: str) -> Spec:
         return self if self.original is not None else replace(self, original=s)
 
@@ -788,7 +806,8 @@ class HarmonizeRCA(CodonUsageSpec):
         here, there = relative_adaptiveness(self.table), relative_adaptiveness(dict(self.original_usage))
         pairs = list(zip(self.codon_list(s), self.codon_list(self.original), strict=True))
         apart = [abs(there[b] - here[a]) for a, b in pairs]
-        least = [min(abs(there[b] - here[c]) for c in synonyms(GENETIC_CODE[b])) for _, b in pairs]
+        nearest = self.nearest()
+        least = [nearest[b] for _, b in pairs]
         return -float(sum(apart)), self.places([i for i, (x, y) in enumerate(zip(apart, least, strict=True)) if x > y], s)
 
 
@@ -884,8 +903,6 @@ class AvoidHeterodimerization(Spec):
 
     def score(self, q: Column) -> Column:
         """The runs that words of the others and their parts give have no built-in form; batches go through Arrow."""
-        import pandas as pd
-
         measure = self.measure
 
         @F.pandas_udf("double")
@@ -988,8 +1005,6 @@ class CustomSpec(Spec):
         return float(score), self.upright(list(at), s)
 
     def score(self, q: Column) -> Column:
-        import pandas as pd
-
         measure = self.measure
 
         @F.pandas_udf("double")
