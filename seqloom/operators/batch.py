@@ -78,3 +78,22 @@ def text_summary(evaluated: DataFrame, failed_only: bool = False) -> DataFrame:
     line = F.concat(F.when(F.col("passes"), "PASS  ").otherwise("FAIL  "), F.col("spec"), F.lit(" score "), F.format_string("%.2f", "score"))
     lines = F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), F.col("spec").alias("s"), line.alias("line"))))
     return rows.groupBy("seq_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("summary"))
+
+
+def circular_evaluations(sequences: DataFrame, specs: dict[str, Spec], q: str = "q") -> DataFrame:
+    """As evaluations, of circular sequences: a specification of the whole sequence also sees what lies across the origin.
+    Its score is of the sequence with its first bases again at the end, as far as it reaches (three copies in a row where
+    that isn't bounded); its places are those that meet one copy, counted from that copy's start, so they may begin below 0."""
+    from .intervals import recentred
+
+    rows = []
+    for n, s in specs.items():
+        whole = F.col(q)
+        if s.place is None:
+            seen = circular(whole, s.reach + 1) if s.reach is not None else F.repeat(whole, 3)
+            score, places = s.score(seen), recentred(s.locations(F.repeat(whole, 3)), F.length(whole))
+        else:
+            score, places = s.score(whole), s.locations(whole)
+        rows.append(F.struct(F.lit(n).alias("spec"), score.alias("score"), F.lit(float(s.best)).alias("best"), F.lit(float(s.boost)).alias("boost"), F.lit(s.priority).alias("priority"), places.alias("locations")))
+    out = sequences.select("seq_id", F.explode(F.array(*rows)).alias("e")).select("seq_id", "e.*")
+    return out.select("seq_id", "spec", F.lit("constraint").alias("role"), "score", (F.col("score") >= 0).alias("passes"), (F.col("score") == F.col("best")).alias("is_optimal"), "boost", "priority", "locations")

@@ -50,4 +50,20 @@ def write_report(rows: DataFrame, specs: dict[str, Spec], folder: str, before: s
     rows.write.mode("overwrite").json(f"{folder}/sequences")
 
 
-__all__ = ["before_after", "edit_features", "evaluation_features", "parsing", "truncated", "write_report"]
+__all__ = ["before_after", "edit_features", "evaluation_features", "optimize_with_report", "parsing", "truncated", "write_report"]
+
+
+def optimize_with_report(sequences: DataFrame, constraints: dict[str, Spec], objectives: dict[str, Spec], folder: str, **options) -> DataFrame:
+    """Solves each sequence and writes below a folder: what became of each (`results`), scores before and after and edits of
+    the solved ones, and the messages of the others (`failures`). Gives the table of results."""
+    from .solver import solve
+
+    solve(sequences, list(constraints.values()), list(objectives.values()), **options).write.mode("overwrite").parquet(f"{folder}/results")
+    found = sequences.sparkSession.read.parquet(f"{folder}/results")
+    solved = found.where("status = 'solved'").withColumnRenamed("q", "after")
+    fixed = {n: s for n, s in (constraints | objectives).items() if getattr(s, "target", "") is not None and getattr(s, "protein", "") is not None and getattr(s, "original", "") is not None}
+    if fixed:
+        before_after(solved, fixed, with_boost=True).write.mode("overwrite").csv(f"{folder}/scores", header=True)
+    edit_features(solved).write.mode("overwrite").csv(f"{folder}/edits", header=True)
+    found.where("status <> 'solved'").select("seq_id", "status", truncated(F.col("message")).alias("message")).write.mode("overwrite").csv(f"{folder}/failures", header=True)
+    return found

@@ -135,3 +135,27 @@ def test_command_line(spark, tmp_path):
     assert r["status"] == "solved" and "GAATTC" not in r["q"] and "CGTCTC" not in r["q"] and "GAGACG" not in r["q"]
     assert spark.read.csv(str(tmp_path / "out/edits"), header=True).count() >= 3
     assert files.read_genbank(spark, str(tmp_path / "out/records")).first()["q"] == r["q"]
+
+
+def test_table_function(spark):
+    from seqloom.functions import udtf
+
+    udtf.register(spark)
+    rows = spark.sql("SELECT t.* FROM VALUES ('AACGTCTCAA'), (null) AS s(q), LATERAL find_matches(s.q, 'BsmBI_site', 0) AS t").collect()
+    assert [tuple(r) for r in rows] == [(2, 8, 1)]
+
+
+def test_circular_evaluations(spark):
+    from seqloom.operators import batch
+
+    rows = spark.createDataFrame([(1, "TTCAAAAAAAAAAGAA"), (2, "AAAAAAAA")], "seq_id long, q string")
+    got = {(r["seq_id"], r["spec"]): r for r in batch.circular_evaluations(rows, {"site": S.AvoidPattern("EcoRI_site"), "part": S.AvoidPattern("TTC", 1, place=(0, 5, 1))}).collect()}
+    assert got[1, "site"]["score"] == -1 and [tuple(x) for x in got[1, "site"]["locations"]] == [(-3, 3, 1), (13, 19, 1)]
+    assert got[2, "site"]["passes"] and got[1, "part"]["score"] == -1
+
+
+def test_solve_and_report(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ACGTACGTTTTTGG"), (2, "ACG")], "seq_id long, q string")
+    found = reports.optimize_with_report(rows, {"no": S.AvoidPattern("ACG"), "length": S.SequenceLengthBounds(5)}, {"gc": S.EnforceGCContent(target=0.5)}, str(tmp_path / "r"))
+    assert {r["seq_id"]: r["status"] for r in found.collect()} == {1: "solved", 2: "no solution"}
+    assert spark.read.csv(str(tmp_path / "r/failures"), header=True).count() == 1 and spark.read.csv(str(tmp_path / "r/scores"), header=True).count() == 3
