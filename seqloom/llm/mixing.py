@@ -58,7 +58,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = with_groups(rows.drop("_source"), targets.drop("_source"), "_key", F.col("_id"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("_whole", F.floor(rate + 1e-12)).withColumn("_p", F.greatest(rate - F.col("_whole"), F.lit(0.0)))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
     odds = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
     rows = rows.withColumn("_rank", F.when(F.col("_p") > 0, odds / (1 + odds)).otherwise(1.0)).withColumn("_bucket", F.least(F.floor(F.col("_rank") * buckets), F.lit(buckets - 1)).cast("int"))
     rows = rows.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
@@ -68,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.join(sums, ["_key", "_bucket"]).withColumn("_until", F.col("_before") + F.sum("size").over(within))
     more = (F.col("_p") > 0) & (F.col("_until") - F.col("size") / 2 <= F.col("_rest"))
     copies = F.col("_whole") + more.cast("long")
-    return rows.select(F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select(F.col("_id").alias(id_col), "size", "source_size", F.round("target", 6).alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -78,3 +79,20 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn("_key_row", key)
     copies = mix(rows, "_key_row", text_col, source_col, **options).groupBy("_key_row").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
     return rows.dropDuplicates(["_key_row"]).join(copies, "_key_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS wt, 3::DOUBLE * ss AS lim FROM s),
+c AS (SELECT *, lim / wt AS r, coalesce(sum(lim) OVER o, 0) AS capped, coalesce(sum(wt) OVER o, 0) AS wcap FROM w WINDOW o AS (ORDER BY lim / wt, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max((t - capped) / (tw - wcap)) AS lam FROM c, (SELECT sum(ss)::DOUBLE AS t, sum(wt) AS tw FROM w) WHERE (t - capped) / (tw - wcap) <= r),
+g AS (SELECT source, ss, least(lim, wt * lam) AS target FROM w, l),
+x AS (SELECT doc_id, d.source, size, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0 END AS rate,
+  (('0x' || substr(md5(concat('1:', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 10))::BIGINT + 0.5::DOUBLE) / 1099511627776::DOUBLE AS u FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+y AS (SELECT *, floor(rate + 1e-12) AS whole, greatest(rate - floor(rate + 1e-12), 0) AS p FROM x),
+z AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE 1 END AS odds FROM y),
+q AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS UNBOUNDED PRECEDING) AS until_ FROM z),
+m AS (SELECT *, (whole + (p > 0 AND until_ - size / 2 <= target - whole * ss)::INT)::BIGINT AS copies FROM q)
+SELECT doc_id, size, ss AS source_size, round(target, 6) AS target, copies, (copies * size)::BIGINT AS taken FROM m
+"""
