@@ -10,6 +10,7 @@ Defined results: a null text scores as an empty one; without rows of both labels
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,31 +27,35 @@ Condition = tuple[int, bool, float]
 Rule = tuple[Condition, ...]
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers that describe a text; all 0 for an empty one."""
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, wherever the optimizer puts the expression and however often body uses it: as
+    the only element of a transformed array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def statistics(text: Column) -> dict[str, Callable[[Column], Column]]:
+    """Numbers that describe a text, as functions of its words; all 0 for an empty one."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.size(F.col("_words")).cast("double")
-    per_word = lambda c: c / F.greatest(words, F.lit(1.0))
+    number = lambda words: F.greatest(F.size(words), F.lit(1)).cast("double")
     return {
-        "log_words": F.log1p(words),
-        "chars_per_word": F.length(text) / F.greatest(words, F.lit(1.0)),
-        "upper_share": count(r"\p{Lu}") / chars,
-        "digit_share": count("[0-9]") / chars,
-        "symbols_per_word": per_word(count("[#*$%&|<>]")),
-        "shouts_per_word": per_word(count("[!?]")),
-        "stops_per_word": per_word(count("[.,;:]")),
-        "lines_per_word": per_word(count("\n")),
-        "long_per_word": per_word(count(r"[^\x20\x09-\x0D]{25,}")),
-        "distinct_words": per_word(F.size(F.array_distinct("_words")).cast("double")),
+        "log_words": lambda w: F.log1p(F.size(w).cast("double")),
+        "chars_per_word": lambda w: F.length(text) / number(w),
+        "upper_share": lambda w: count(r"\p{Lu}") / chars,
+        "digit_share": lambda w: count("[0-9]") / chars,
+        "symbols_per_word": lambda w: count("[#*$%&|<>]") / number(w),
+        "shouts_per_word": lambda w: count("[!?]") / number(w),
+        "stops_per_word": lambda w: count("[.,;:]") / number(w),
+        "lines_per_word": lambda w: count("\n") / number(w),
+        "long_per_word": lambda w: count(r"[^\x20\x09-\x0D]{25,}") / number(w),
+        "distinct_words": lambda w: F.size(F.array_distinct(w)) / number(w),
     }
 
 
-def with_statistics(rows: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
-    rows = rows.withColumn("_words", F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
-    found = statistics(F.col(text))
-    names = [f"_stat_{k}" for k in found]
-    return rows.withColumns({n: F.coalesce(c, F.lit(0.0)) for n, c in zip(names, found.values(), strict=True)}).drop("_words"), names
+def described(text: Column) -> Column:
+    """The statistics as one struct."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return once(words, lambda w: F.struct(*[F.coalesce(f(w), F.lit(0.0)).alias(n) for n, f in statistics(text).items()]))
 
 
 def grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], depth: int, rng: np.random.Generator, path: Rule = ()) -> list[Rule]:
@@ -105,13 +110,16 @@ class RuleModel:
     weights: list[float]
     bias: float
 
-    def score(self) -> Column:
-        """The model as an expression over the columns `names`."""
+    def score(self, stats: Column) -> Column:
+        """The model as an expression over a struct with the fields `names`."""
+        return once(stats, self._of)
+
+    def _of(self, stats: Column) -> Column:
         total = F.lit(self.bias)
         for rule, weight in zip(self.rules, self.weights, strict=True):
             test = F.lit(True)
             for f, low, cut in rule:
-                test = test & (F.col(self.names[f]) <= cut if low else F.col(self.names[f]) > cut)
+                test = test & (stats[self.names[f]] <= cut if low else stats[self.names[f]] > cut)
             total = total + F.when(test, weight).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
 
@@ -138,20 +146,20 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, d
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id") -> RuleModel:
     """Learns from max_rows labelled rows at most; a dozen numbers of each come to the driver."""
-    rows, names = with_statistics(labelled(docs, labels, "quality", max_rows, id_col=id_col), "_text")
-    got = rows.select("_id", "_label", *names).orderBy("_id", *names).toPandas()
+    rows = labelled(docs, labels, "quality", max_rows, id_col=id_col)
+    names = list(statistics(F.col("_text")))
+    got = rows.select("_id", "_label", described(F.col("_text")).alias("s")).select("_id", "_label", "s.*").toPandas().sort_values(["_id", *names])
     return fit_rules(got[names].to_numpy(float), got["_label"].to_numpy(float), names)
 
 
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, score and predicted of each row."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    rows, _ = with_statistics(rows, "_text")
-    rows = rows.select("_id", held_out(F.col("_id")).alias("held_out"), model.score().alias("score"))
+    rows = rows.select("_id", held_out(F.col("_id")).alias("held_out"), model.score(described(F.col("_text"))).alias("score"))
     return rows.select(F.col("_id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def kept_rows(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """The rows of docs that the model predicts as label 1, as they are; nothing is shuffled."""
-    rows, _ = with_statistics(docs.withColumn("_stat_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "_stat_text")
-    return rows.where(model.score() >= 0.5).select(*docs.columns)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.where(model.score(described(text)) >= 0.5)

@@ -25,6 +25,8 @@ from .common import WORD, partitions
 
 SHINGLE = 3
 BITS = 128
+#: Ranges of ids at most; their borders are part of the plan.
+MOST_RANGES = 1 << 14
 
 
 def _terms(text: Column, shingle: int) -> Column:
@@ -87,8 +89,8 @@ def _bucket(column: Column, splits: list) -> Column:
 def with_next(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rows in ranges of ids (_bucket, _row), each with the next row's text (_next). The first row of each range is also
     put, marked _late, behind the range before it, so that texts are shuffled once and no range needs another."""
-    n = 4 * partitions(rows.sparkSession)
-    cuts = rows.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 100 * n).alias("cuts"), F.min(id_col).alias("low"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
+    n = min(4 * partitions(rows.sparkSession), MOST_RANGES)
+    cuts = rows.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 10 * n).alias("cuts"), F.min(id_col).alias("low"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
     low = None if cuts["nulls"] else cuts["low"]
     splits = sorted(x for x in set(cuts["cuts"] or ()) if x != low)
     bucket = _bucket(F.col(id_col), splits)

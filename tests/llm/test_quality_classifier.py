@@ -2,6 +2,7 @@ import zlib
 
 import cases
 import numpy as np
+from pyspark.sql import functions as F
 
 from seqloom.llm import quality_classifier as q
 from seqloom.llm.common import table
@@ -28,7 +29,7 @@ def test_expression_is_the_model(spark):
     model = q.fit_rules(x, y, ["a", "b", "c"])
     assert 0 < len(model.rules) < 60
     want = 1 / (1 + np.exp(-(model.bias + sum(w * q.holds(r, x) for r, w in zip(model.rules, model.weights, strict=True)))))
-    got = [r[0] for r in spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").select(model.score()).collect()]
+    got = [r[0] for r in spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").select(model.score(F.struct("a", "b", "c"))).collect()]
     assert np.allclose(got, want) and ((want > 0.5) == y).mean() > 0.97
 
 
