@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter, warc
+from . import bpe, licenses, minhash, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, table(spark, sf_dir, "pages"), "page_id", "url", url_filter.RULES)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the licenses in each document, in order, and the number of matches."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",")
+    return found.select("doc_id", names.alias("licenses"), F.size("matches").cast("long").alias("n_matches"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -53,8 +61,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op3_warc, op4_url_filter, op6_quality_classifier, op7_fingerprints, op8_near_dedup, op9_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op3_warc, op4_url_filter, op5_license_scan, op6_quality_classifier, op7_fingerprints, op8_near_dedup, op9_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op8_near_dedup": minhash.ORACLE_SQL, "op4_url_filter": url_filter.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op2_mix_sources": mixing.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op8_near_dedup": minhash.ORACLE_SQL, "op4_url_filter": url_filter.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
