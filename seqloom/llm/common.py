@@ -65,11 +65,27 @@ def key_of(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), column.cast("string")))
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, key: str, by: Column, salts: int = 16) -> DataFrame:
-    """rows joined with the one row that groups has for their key. A key with very many rows is dealt over `salts` tasks:
-    groups has each of its rows once a salt, and rows take a salt from `by`."""
-    many = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(many, [key, "_salt"]).drop("_salt")
+def salts_of(spark: SparkSession) -> int:
+    """Over how many tasks a hot key is dealt: as many as a shuffle has."""
+    return max(16, partitions(spark))
+
+
+def known_small(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of a table is within its limit for broadcasts; for written tables, that is their files' size."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, by: Column) -> DataFrame:
+    """rows joined with the one row that groups, a written table, has for their key. Groups within Spark's limit for
+    broadcasts go to the rows, which stay where they are. Else a key's rows are dealt by `by` over as many salts as a
+    shuffle has tasks, and groups has each of its rows once for each salt that rows have: neither side is multiplied, and
+    no key is one task's work."""
+    if known_small(groups):
+        return rows.join(F.broadcast(groups), key)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts_of(rows.sparkSession))).cast("int"))
+    many = groups.join(salted.select(key, "_salt").distinct(), key)
+    return salted.join(many, [key, "_salt"]).drop("_salt")
 
 
 def global_order(df: DataFrame, order: list[str], label: str) -> tuple[DataFrame, dict[int, int]]:

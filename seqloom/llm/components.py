@@ -34,5 +34,5 @@ def components(links: DataFrame) -> DataFrame:
         step = lowered(links)
         up = step.where("low < node")
         step = materialized(step.join(up.select(F.col("node").alias("low"), F.col("low").alias("_up")), "low", "left").select("node", F.coalesce("_up", "low").alias("low")), "step")
-        moved = with_groups(labels, step.where("low < node").select(F.col("node").alias("component"), "low"), "component", F.col("node"), 8).select("node", "low")
+        moved = with_groups(labels, step.where("low < node").select(F.col("node").alias("component"), "low"), "component", F.col("node")).select("node", "low")
         labels = materialized(labels.join(moved, "node", "left").select("node", F.coalesce("low", "component").alias("component")), "labels")
