@@ -3,7 +3,10 @@ import re
 
 import cases
 
+from pyspark.sql import functions as F
+
 from seqloom.llm import mixing
+from seqloom.llm.common import with_groups
 
 
 def targets(sizes, weights=(5, 2, 1), limit=3.0):
@@ -68,3 +71,48 @@ def test_rows(spark):
     for r in out.collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert all(got.get(k, 0) == n for k, n in copies.items())
+
+
+def test_unequal_odds(spark):
+    """Longer documents are likelier to be taken, and no weight is lost: expected words are the target."""
+    rng = random.Random(5)
+    docs = [(i, "w " * rng.choice([2, 30, 500]), "a" if i % 3 else "b") for i in range(3000)]
+    rows = mixing.mix(cases.docs(spark, docs)).collect()
+    share = lambda n: sum(r["copies"] for r in rows if r["size"] == n and docs[r["doc_id"]][2] == "b") / sum(1 for r in rows if r["size"] == n and docs[r["doc_id"]][2] == "b")
+    assert share(2) < share(30) < share(500)
+
+
+def test_ranges_are_even(spark):
+    """Of a source's documents with a rank, no range holds more than a few, whether the rest of the rate is near 0 or 1,
+    and none of a source at the cap has a rank."""
+    one = lambda rate, n: [(float(rate), n)]
+    for classes in (one(0.0001, 1), one(0.999, 1), [(0.001, 1), (0.999, 2)], [(0.0001, 1), (0.5, 5), (0.9999, 9)]):
+        entries = [F.struct(F.lit(c).alias("_class"), F.struct(F.lit(1).alias("n"), F.lit(0).alias("whole"), F.lit(p / (1 - p)).alias("odds")).alias("v")) for p, c in classes]
+        rows = spark.range(200_000).select(F.col("id").cast("string").alias("_draw"), F.element_at(F.array(*[F.lit(1 << (c - 1)) for _, c in classes]), (F.col("id") % len(classes) + 1).cast("int")).alias("size"))
+        rows = rows.withColumn("_classes", F.map_from_entries(F.array(*entries)))
+        most = mixing.ranked(rows, 1, 1000).groupBy("_bucket").count().agg(F.max("count")).first()[0]
+        assert most < 200_000 * 0.0025
+    capped = [(i, "w w w", "a") for i in range(50)] + [(100 + i, "w " * 500, "b") for i in range(50)]
+    rows = mixing.mix(cases.docs(spark, capped)).collect()
+    assert all(r["copies"] == 3 for r in rows if r["doc_id"] < 50)
+
+
+def test_clashing_names(spark):
+    names = ["_row", "_key", "_draw", "_copies", "_rate", "_rank", "_bucket", "_classes", "_salt", "_last", "_cut", "col", "target"]
+    docs = cases.docs(spark).select("doc_id", "text", "source", *[F.lit(f"own {n}").alias(n) for n in names])
+    out = mixing.mixed_rows(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+
+
+def test_salted_join(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).cast("string").alias("k"), "id")
+    groups = spark.range(3).select(F.col("id").cast("string").alias("k"), (F.col("id") * 10).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = with_groups(rows, groups, "k", F.col("id")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r["id"], r["v"]) for r in out) == [(i, i % 3 * 10) for i in range(1000)]
