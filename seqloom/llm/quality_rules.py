@@ -54,6 +54,10 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def failed_base(stats: tuple[int, int, int, int, int]) -> bool:
+    return stats[0] < 20 or 100 * stats[4] > 30 * stats[0]
+
+
 def _stats(batch: pa.RecordBatch) -> pa.RecordBatch:
     columns = zip(*(text_stats(x) for x in batch.column(2).to_pylist()), strict=True) if batch.num_rows else [[]] * 5
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], ["_id", "_host", *(x.split()[0] for x in STATS.split(", "))])
@@ -84,7 +88,7 @@ def host_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialized(base_stats(docs, id_col, text_col, host_col), "rules")
     hosts = rows.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("fails"))
     alpha, beta = beta_prior(hosts)
-    verdicts = hosts.select("_host", ((F.col("fails") + alpha) / (F.col("n") + alpha + beta) <= max_rate).alias("host_kept"))
+    verdicts = materialized(hosts.select("_host", ((F.col("fails") + alpha) / (F.col("n") + alpha + beta) <= max_rate).alias("host_kept")), "verdicts")
     out = with_groups(rows, verdicts, "_host", F.struct("_id", "n_words", "word_chars"))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).withColumnRenamed("_id", id_col).drop("_host", "host_kept")
 
@@ -109,17 +113,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The rows of docs that the rules and their host's verdict keep, as they are. Texts are read twice and, unless very
-    many hosts are rejected, never shuffled."""
-    rows = materialized(base_stats(docs, id_col, text_col, host_col), "rules")
-    hosts = rows.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("fails"))
+    """The rows of docs that the rules and their host's verdict keep, with all their columns, whatever their names. Texts
+    are judged once, on their way to a written table of those that pass; for the others it has the host only, so that
+    hosts are counted from it. Unless very many hosts are rejected, texts are not shuffled."""
+
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stats = [text_stats(x) for x in batch.column(2).field(text_col).to_pylist()]
+        failed = pa.array([failed_base(s) for s in stats], pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(0), failed, batch.column(2)], ["_host", "_failed", "_row"])
+
+    text = F.col(text_col).cast("string").alias(text_col)
+    rows = docs.select(key_of(F.col(host_col)).alias("_host"), F.lit(False).alias("_failed"), F.struct(*[text if c == text_col else F.col(c) for c in docs.columns]).alias("_row"))
+    rows = map_batches(rows, judged, rows.schema).select("_host", "_failed", F.when(~F.col("_failed"), F.col("_row")).alias("_row"))
+    rows = materialized(rows, "rules")
+    hosts = rows.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("_failed").cast("long")).alias("fails"))
     alpha, beta = beta_prior(hosts)
     rejected = materialized(hosts.where((F.col("fails") + alpha) / (F.col("n") + alpha + beta) > max_rate).select("_host"), "rejected")
-    place = docs.columns.index(text_col)
-
-    def passing(batch: pa.RecordBatch) -> pa.RecordBatch:
-        stats = [text_stats(x) for x in batch.column(place).to_pylist()]
-        return batch.filter(pa.array([s[0] >= 20 and 100 * s[4] <= 30 * s[0] for s in stats], pa.bool_()))
-
-    passed = map_batches(docs, passing, docs.schema)
-    return passed.withColumn("_host", key_of(F.col(host_col))).join(rejected, "_host", "left_anti").select(*docs.columns)
+    return rows.where("NOT _failed").join(rejected, "_host", "left_anti").select("_row.*")

@@ -45,3 +45,16 @@ def test_odd_cases(spark):
     assert len(out) == len(cases.TEXTS)
     assert all(r["base_failed"] and not r["kept"] for r in out if r["doc_id"] in (3, 4, 5))
     assert q.host_verdicts(cases.empty(spark)).count() == 0 and q.kept_rows(cases.empty(spark)).count() == 0
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(40))
+    names = ["_host", "_failed", "_row", "n", "fails", "n_words"]
+    docs = cases.docs(spark, [(1, text, "a"), (2, "short", "a"), (3, text + " x", "b"), (None, None, None)]).select("doc_id", "text", "source", *[F.lit(f"own {n}").alias(n) for n in names])
+    out = q.kept_rows(docs)
+    rows = out.collect()
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in rows) == [1, 3]
+    assert all(r[n] == f"own {n}" for r in rows for n in names)
+    assert q.kept_rows(cases.empty(spark)).count() == 0
