@@ -40,3 +40,27 @@ def test_odd_cases(spark):
     assert len(rows) == len(cases.TEXTS) and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["score"] for r in q.score(docs, q.fit(docs, labels.limit(0))).collect()} == {0.5}
     assert q.score(cases.empty(spark), q.fit(cases.empty(spark), labels)).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    """Whatever the number of rows with equal ids, one text an id and max_rows at most leave."""
+    from seqloom.llm.sampling import labelled
+
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][:4]
+    docs = cases.docs(spark, [(i, f"text {k}", "a") for i in ids for k in range(50)])
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    rows = labelled(docs, labels, "quality", 2).collect()
+    assert len(rows) == 2
+    assert sorted(rows) == sorted(labelled(docs.repartition(7), labels, "quality", 2).collect())
+
+
+def test_kept_rows_of_odd_cases(spark):
+    """Rows stay as they are, whatever their columns are called; empty texts and nulls have a score as all others."""
+    from pyspark.sql import functions as F
+
+    model = q.RuleModel(["log_words"], [((0, True, 0.0),)], [5.0], -1.0)
+    docs = cases.docs(spark).withColumn("held_out", F.lit("own"))
+    out = q.kept_rows(docs, model)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 3, 4, 5]
+    assert q.kept_rows(cases.empty(spark), model).count() == 0
