@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized, new_path, partitions
+from .common import materialized, new_path, partitions, salts_of
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of records after which an archive is closed.
@@ -136,9 +136,11 @@ def read_records(read: Read, size: int) -> Iterator[dict]:
         yield parse_record(gzip.decompress(read(base + place["offset"], place["length"])))
 
 
-def with_first(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int = 100, salts: int = 16) -> DataFrame:
+def with_first(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int = 100) -> DataFrame:
     """_id, _url, _payload, _digest and _first: the smallest id with that payload, null where only one row has it or it
-    is short. A payload's rows are dealt over `salts` tasks; its first id is found from one row a salt."""
+    is short. A payload's rows are dealt over as many salts as a shuffle has tasks; its first id is found from one row
+    a salt."""
+    salts = salts_of(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("_payload"))
     rows = rows.withColumn("_digest", F.sha2("_payload", 256)).withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(salts)))
     seen = rows.where(F.octet_length("_payload") >= least).groupBy("_digest", "_salt").agg(F.min("_id").alias("first"), F.count("*").alias("n"))
