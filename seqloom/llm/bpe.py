@@ -6,8 +6,12 @@ copy of p without v takes over as the target of u, and each state with an arc u
 is kept as its parent and the arc it lacks, and a new token's arcs as "where u is", so a gadget takes constant memory and
 whether a state has an arc is found by walking back over the gadgets; found transitions go to a table.
 
-A text is encoded word by word: a word has one path from the start, which is followed by the table. Decoding emits the
-labels of the arcs.
+Two tables are compiled: a trie of the labels, from node and byte to node, and the states' arcs as default transitions, a
+state's row being its parent's less one arc; rows that are asked for are kept.
+
+A word is encoded in one pass from left to right. The token sequence of each of its beginnings is unique, so it is enough
+to know its last token: from each end, the trie is followed, and each token on the way whose arc the state after the last
+token has is the last one of the longer beginning. No step is taken back. Decoding emits the labels of the arcs.
 
 Defined results: a null text is encoded as an empty one, with no tokens; strings of added tokens in a text become their
 token; repeated rows give repeated results; an empty table gives an empty table. Only the named columns are read.
@@ -51,8 +55,16 @@ class TokenAutomaton:
         self.table: dict[int, bool] = {}
         for step, (u, v) in enumerate(merges, 1):
             self._gadget(step, u, v, tokens)
-        # labels by their bytes, and -1 for the beginnings of labels
-        self.arcs = {x[:k]: -1 for x in self.ids for k in range(1, len(x))} | self.ids
+        # node and byte to node, and the token whose label ends at a node
+        self.child: dict[int, int] = {}
+        self.token: list[int] = [-1]
+        for label, token in self.ids.items():
+            node = 0
+            for byte in label:
+                node = self.child.setdefault(node << 8 | byte, len(self.token))
+                if node == len(self.token):
+                    self.token.append(-1)
+            self.token[node] = token
 
     def _gadget(self, step: int, u: bytes, v: bytes, tokens: dict[bytes, int]) -> None:
         a, b, whole = self.ids.get(u), self.ids.get(v), u + v
@@ -80,42 +92,33 @@ class TokenAutomaton:
         return True
 
     def encode(self, word: bytes) -> tuple[int, ...]:
-        """The labels' ids on the one path for the word: from each state, the longest token that has an arc there is tried
-        first; a place that was left without success isn't entered again from the same token."""
-        n, arcs, target, table = len(word), self.arcs, self.target, self.table
-        path: list[int] = []
-        ends: list[int] = []
-        tries: list[list[tuple[int, int]]] = []
-        left: set[tuple[int, int]] = set()
-        at, state = 0, 0
-        while at < n:
-            found = []
-            end = at + 1
-            while end <= n and (token := arcs.get(word[at:end])) is not None:
-                if token >= 0:
-                    found.append((token, end))
-                end += 1
-            tries.append(found)
-            while True:
-                while tries and not tries[-1]:
-                    tries.pop()
-                    if not path:
-                        raise ValueError(f"no path for {word!r}")
-                    token = path.pop()
-                    left.add((token, ends.pop()))
-                    state = target[path[-1]] if path else 0
-                token, end = tries[-1].pop()
-                key = state << 20 | token
-                if (known := table.get(key)) is None:
+        """The labels' ids on the one path for the word."""
+        n, child, tokens, target, table = len(word), self.child, self.token, self.target, self.table
+        last: list[int | None] = [None] * (n + 1)
+        for start in range(n):
+            before = last[start]
+            if start and before is None:
+                continue
+            state = target[before] << 20 if start else 0
+            node = 0
+            for end in range(start + 1, n + 1):
+                if (node := child.get(node << 8 | word[end - 1])) is None:
+                    break
+                if (token := tokens[node]) < 0 or last[end] is not None:
+                    continue
+                if (known := table.get(state | token)) is None:
                     if len(table) >= KEPT_ARCS:
                         table.clear()
-                    known = table[key] = self._walk(state, token)
-                if known and (token, end) not in left:
-                    break
+                    known = table[state | token] = self._walk(state >> 20, token)
+                if known:
+                    last[end] = token
+        path, at = [], n
+        while at:
+            if (token := last[at]) is None:
+                raise ValueError(f"no path for {word!r}")
             path.append(token)
-            ends.append(end)
-            at, state = end, target[token]
-        return tuple(path)
+            at -= len(self.labels[token])
+        return tuple(reversed(path))
 
 
 class Coder:
@@ -126,8 +129,9 @@ class Coder:
         self.find: Callable[[str], list[str]] = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.labels = automaton.labels | {i: x.encode() for x, i in added.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        #: A word's ids, the ids as text, and the labels that they emit.
+        self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
 
     def __getstate__(self):
         return self.automaton, self.added, self.find.__self__.pattern
@@ -135,27 +139,33 @@ class Coder:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _coded(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
+        return ids, ",".join(map(str, ids)), b"".join(map(self.labels.__getitem__, ids))
+
+    def _word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
         """Words found lately are kept: when the newer half is full, the older one goes."""
-        if (ids := self.older.get(word)) is None:
-            ids = self.automaton.encode(word.encode("utf-8", "surrogatepass"))
+        if (coded := self.older.get(word)) is None:
+            coded = self._coded(self.automaton.encode(word.encode("utf-8", "surrogatepass")))
         if len(word) <= 64:
             if len(self.known) >= KEPT_WORDS:
                 self.older, self.known = self.known, {}
-            self.known[word] = ids
-        return ids
+            self.known[word] = coded
+        return coded
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def words(self, text: str | None) -> list[tuple[tuple[int, ...], str, bytes]]:
+        """The text's words and added tokens in order, each as its ids, these as text, and its bytes."""
+        out = []
         for k, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
             if k % 2:
-                out.append(self.added[part])
+                out.append(self._coded((self.added[part],)))
                 continue
-            known = self.known
             for word in self.find(part):
-                out += known.get(word) or self._word(word)
+                out.append(self.known.get(word) or self._word(word))
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        return [i for ids, _, _ in self.words(text) for i in ids]
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -182,21 +192,19 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     shared = spark.sparkContext.broadcast(load(vocabulary))
 
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder, digits = shared.value, names
+        coder = shared.value
         columns: list[list] = [[], [], [], [], []]
         for text in batch.column(1).to_pylist():
-            ids = coder.encode(text)
-            if not digits:
-                digits.update((i, str(i)) for i in coder.labels)
-            decoded = coder.decode(ids)
-            row = (len(ids), _digest(",".join(map(digits.__getitem__, ids)).encode()), _digest(decoded.encode("utf-8", "surrogatepass")))
+            words = coder.words(text)
+            decoded = b"".join([w[2] for w in words]).decode("utf-8", "replace")
+            ids = [i for w in words for i in w[0]] if with_ids else None
+            row = (sum([len(w[0]) for w in words]), _digest(",".join([w[1] for w in words]).encode()), _digest(decoded.encode("utf-8", "surrogatepass")))
             for column, x in zip(columns, (*row, ids, decoded) if with_ids else row, strict=False):
                 column.append(x)
         kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.string()] if with_ids else [])]
         fields = ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], fields[: 1 + len(kinds)])
 
-    names: dict[int, str] = {}
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
