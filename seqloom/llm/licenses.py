@@ -1,12 +1,16 @@
 """License scan by MinHash bands (operator 5).
 
 Texts and license templates are cut into shingles of `width` words. A template of m shingles is looked for in all
-overlapping windows of w shingles, w the least power of two that is 1.25 m or more. Window and template are candidates if
-they agree in one of `bands` minima; minima of all windows come from doubling: that of a window is the lesser of its
-halves'. Candidates are verified: the share of the template's shingles that the window contains must reach `share`.
+overlapping windows of ceil(1.25 m) shingles. Window and template are candidates if they agree in one of `bands` minima;
+minima of all windows come from doubling: that of a window is the lesser of two overlapping halves', each as long as the
+greatest power of two in it. Candidates are verified: the share of the template's shingles that the window contains must
+reach `share`.
 
-A window that contains four fifths of a template, and is two and a half times as long at most, has a similarity of 0.296
-or more; 24 bands of one minimum miss it at a chance of 0.0003, and the windows around it count too.
+A window that contains four fifths of a template has a similarity of 0.8 / (1 + 1.25 - 0.8) = 0.55 or more; 16 bands of
+one minimum miss it at a chance of 0.000003, and the windows around it count too.
+
+Templates are a dict, or a table by `templates_from`: whole short licenses, notices of longer ones, and lines that name a
+license (`license_texts`). What holds the wording of two templates is reported under both names.
 
 Defined results: a null or empty text has no match; a text shorter than a window is one window; repeated rows give repeated
 results; an empty table gives an empty table. Only the named columns are read.
@@ -24,18 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
+from .license_texts import TEMPLATES
 
-# Lines and passages by which public licenses are named or granted.
-TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-}
-WIDTH, BANDS, SHARE = 3, 24, 0.8
+WIDTH, BANDS, SHARE = 3, 16, 0.8
 TEXTS_AT_ONCE = 400_000
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -68,46 +63,44 @@ class Index:
         self.by = rng.integers(0, 1 << 63, bands, np.uint64) * np.uint64(2) + np.uint64(1)
         self.names = sorted(templates)
         self.sets = [np.unique(shingles(words_of(templates[n]), width)) for n in self.names]
-        self.windows = [max(1, 1 << int(np.ceil(np.log2(1.25 * len(s))))) for s in self.sets]
+        self.windows = [-(-5 * len(s) // 4) for s in self.sets]
         self.minima = [[self.scrambled(s, a).min() for a in self.by] for s in self.sets]
 
     @staticmethod
     def scrambled(keys: np.ndarray, a: np.uint64) -> np.ndarray:
         return ((keys * a) >> np.uint64(32)).astype(np.uint32)
 
-    def candidates(self, keys: np.ndarray) -> list[np.ndarray]:
-        """For each template, the starts of windows that agree with it in some band."""
+    def candidates(self, keys: np.ndarray, gaps: np.ndarray) -> list[np.ndarray]:
+        """For each template, the starts of windows that agree with it in some band. Gaps count as above all minima."""
         found: list[list[np.ndarray]] = [[] for _ in self.names]
         for band, a in enumerate(self.by):
             least, w = self.scrambled(keys, a), 1
+            least[gaps] = 0xFFFFFFFF
             while True:
                 for t, window in enumerate(self.windows):
-                    if window == w:
-                        found[t].append(np.flatnonzero(least == self.minima[t][band]))
-                if w >= max(self.windows) or len(least) <= w:
+                    if w <= window < 2 * w and len(least) > window - w:
+                        found[t].append(np.flatnonzero(np.minimum(least[: len(least) - (window - w)], least[window - w :]) == self.minima[t][band]))
+                if 2 * w > max(self.windows) or len(least) <= w:
                     break
                 least, w = np.minimum(least[:-w], least[w:]), 2 * w
         return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.int64) for f in found]
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
         """name, first word, end and greatest share of each match in each text. Windows that overlap are one match. The texts
-        are laid out in one array, with gaps as long as the longest window, so that no window has shingles of two."""
-        gap = max(self.windows)
+        are laid out in one array, with gaps so long that no window that can match has shingles of two."""
+        out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+        if not self.names or not texts:
+            return out
+        gap = max(w - int(self.share * len(s)) + 1 for w, s in zip(self.windows, self.sets, strict=True))
         parts = [shingles(words_of(t), self.width) for t in texts]
-        starts = np.cumsum([0, *(len(p) + gap for p in parts)])
-        keys = np.zeros(starts[-1], np.uint64)
-        real = np.zeros(starts[-1], bool)
+        # what comes behind the last text is as long as a window, so that each start has one
+        starts = np.cumsum([0, *(len(p) + gap for p in parts[:-1]), *(len(p) + max(self.windows) for p in parts[-1:])])
+        keys, gaps = np.zeros(starts[-1], np.uint64), np.ones(starts[-1], bool)
         for p, s in zip(parts, starts, strict=False):
             keys[s : s + len(p)] = p
-            real[s : s + len(p)] = True
-        gaps = ~real
-        # a gap's key is no shingle's: its minima are as good as random, and it is in no template
-        keys[gaps] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
-        if not len(keys):
-            return out
+            gaps[s : s + len(p)] = False
         ends = starts[:-1] + np.array([len(p) for p in parts])
-        for name, wanted, w, at in zip(self.names, self.sets, self.windows, self.candidates(keys), strict=True):
+        for name, wanted, w, at in zip(self.names, self.sets, self.windows, self.candidates(keys, gaps), strict=True):
             if not len(at):
                 continue
             owner = np.searchsorted(starts, at, "right") - 1
@@ -130,10 +123,19 @@ class Index:
         return out
 
 
+def templates_from(rows: DataFrame, name_col: str = "name", text_col: str = "text", most: int = 10_000) -> dict[str, str]:
+    """Templates from a table, `most` rows at most; of equal names the least text. Rows without a word are left out."""
+    got = rows.select(F.col(name_col).cast("string").alias("n"), F.col(text_col).cast("string").alias("t")).where("n IS NOT NULL AND t IS NOT NULL").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} templates")
+    out = {r["n"]: r["t"] for r in sorted(got, key=lambda r: (r["n"], r["t"]), reverse=True)}
+    return {n: out[n] for n in sorted(out) if words_of(out[n])}
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:
     """id_col and matches: license, first word, end and share of each match, in the order of name and place. The templates,
     given as a dict, are few; no shuffle."""
-    index = Index(templates or TEMPLATES, share=share)
+    index = Index(TEMPLATES if templates is None else templates, share=share)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = [("license", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]
 
@@ -153,10 +155,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 _CUT = "CASE WHEN len(ws) >= 3 THEN list_slice(ws, i, i + 2) ELSE ws END AS k"
 _WORDS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws"
 ORACLE_SQL = f"""
-WITH tpl(name, txt) AS (VALUES {", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())}),
+WITH tpl(name, txt) AS (VALUES {", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())}),
 tw AS (SELECT name, {_WORDS.format("txt")} FROM tpl), dw AS (SELECT doc_id, {_WORDS.format("text")} FROM documents),
 ts AS (SELECT DISTINCT name, {_CUT} FROM tw, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS t(i)),
-tm AS (SELECT name, count(*) AS m, (2 ** ceil(log2(1.25 * count(*))))::INT AS w FROM ts GROUP BY name),
+tm AS (SELECT name, count(*) AS m, ceil(5 * count(*) / 4)::INT AS w FROM ts GROUP BY name),
 ds AS (SELECT doc_id, i, {_CUT} FROM dw, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS t(i) WHERE len(ws) > 0),
 hit AS (SELECT doc_id, name, i, ts.k FROM ds JOIN ts ON ds.k = ts.k),
 win AS (SELECT a.doc_id, a.name, a.i, count(DISTINCT b.k) AS c, max(b.i) + 3 AS e, any_value(m) AS m FROM hit AS a JOIN tm ON tm.name = a.name

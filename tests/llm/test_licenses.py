@@ -24,11 +24,11 @@ def brute(text, index):
 def test_against_all_windows():
     rng, index = random.Random(8), licenses.Index(licenses.TEMPLATES)
     words = ["the", "license", "under", "version", "of", "and", "x", "rights", "all"]
-    texts = [None, "", "All rights reserved.", "rights reserved", "ALL RIGHTS, RESERVED\n"]
+    texts = [None, "", "Released under the MIT License.", "MIT License", "RELEASED under, the MIT\nlicense"]
     for _ in range(300):
         parts = [rng.choice(words) for _ in range(rng.randint(0, 60))]
         template = licenses.TEMPLATES[rng.choice(index.names)].split()
-        for _ in range(rng.choice([0, 0, 1, 1, 2])):  # some words changed or put in
+        for _ in range(rng.choice([0, 0, 1, 1, 2]) * max(1, len(template) // 30)):  # some words changed or put in
             k = rng.randrange(len(template) + 1)
             template[k : k + rng.randint(0, 1)] = [rng.choice(words)]
         at = rng.randint(0, len(parts))
@@ -45,8 +45,23 @@ def test_against_all_windows():
 
 
 def test_table(spark):
-    rows = [*cases.TEXTS, (50, "x\nReleased under the MIT License.\ny " * 2, "a"), (51, cases.LONG + " All rights reserved", "a")]
+    rows = [*cases.TEXTS, (50, "x\nReleased under the MIT License.\ny " * 2, "a"), (51, cases.LONG + " " + licenses.TEMPLATES["isc"], "a"), (52, "All rights reserved.", "a")]
     out = {r["doc_id"]: r["matches"] for r in licenses.scan(cases.docs(spark, rows)).collect()}
-    assert [m["license"] for m in out[50]] == ["mit", "mit"] and [m["license"] for m in out[51]] == ["all-rights-reserved"]
+    assert [m["license"] for m in out[50]] == ["mit-line", "mit-line"] and [m["license"] for m in out[51]] == ["isc"]
     assert all(not m for i, m in out.items() if i not in (50, 51)) and len(out) == len({i for i, _, _ in rows})
     assert licenses.scan(cases.docs(spark)).count() == len(cases.TEXTS) and licenses.scan(cases.empty(spark)).count() == 0
+
+
+def test_templates_from_a_table(spark):
+    rows = spark.createDataFrame([("own", "one two three four five six", 1), ("own", "z z z", 2), ("empty", " ", 3), (None, "x", 4), ("none", None, 5)], "name string, text string, n int")
+    assert licenses.templates_from(rows) == {"own": "one two three four five six"}
+    out = licenses.scan(cases.docs(spark), templates=licenses.templates_from(rows)).collect()
+    assert sorted(r["doc_id"] for r in out if r["matches"]) == [1, 1, 2]
+    assert all(not r["matches"] for r in licenses.scan(cases.docs(spark), templates={}).collect())
+
+
+def test_whole_licenses():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        assert name in {m[0] for m in index.matches(["before " * 50 + text.upper().replace(" ", "\n") + " after" * 50])[0]}
+    assert not index.matches(["All rights reserved."])[0]
