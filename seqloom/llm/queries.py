@@ -47,6 +47,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7's block tables: how many other fingerprints each document's has within 3 bits."""
+    return simhash.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -61,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op3_warc, op4_url_filter, op5_license_scan, op6_quality_classifier, op7_fingerprints, op8_near_dedup, op9_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_mix_sources, op3_warc, op4_url_filter, op5_license_scan, op6_quality_classifier, op7_fingerprints, op8_near_dedup, op9_toxicity, op10_quality_rules, fingerprint_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

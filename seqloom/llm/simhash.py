@@ -6,7 +6,8 @@ set where the votes for 1 exceed half. Votes are counted two bits a sum: a 64-bi
 hold 2**32 votes, and all of it stays within generated code.
 
 ``neighbours`` finds all pairs of fingerprints within a Hamming radius: 128 bits are cut into radius + 1 blocks, of
-which one at least is equal in any such pair; a table for each block, led by that block, gives the candidates.
+which one at least is equal in any such pair; a table for each block, led by that block, gives the candidates. Where very
+many fingerprints share a block, their other bits are cut into radius + 1 blocks again, one of which must be equal too.
 
 Defined results: a null text is empty; a text without words has the fingerprint of 32 zeros; equal texts have equal
 fingerprints; rows with equal ids follow each other, ordered by text; null ids come first; the only row of a table is
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, partitions
+from .common import WORD, materialized, partitions, with_groups
 
 SHINGLE = 3
 BITS = 128
@@ -125,14 +126,55 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return both.select(F.col("_id").alias(id_col), F.col("_n").alias("n_chars"), F.col("_sha").alias("edited_sha256"), as_hex(*own).alias("fingerprint"), as_hex(*other).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"), likeness(own, following).alias("near_next"))
 
 
-def neighbours(prints: DataFrame, fingerprint_col: str = "fingerprint", radius: int = 3) -> DataFrame:
+def block_tables(f: DataFrame, radius: int, most: int, levels: int) -> DataFrame:
+    """key and f: any two of f(f) within the radius share a key. A key that more than `most` fingerprints have is replaced by
+    keys with one block of the remaining digits more, `levels` times."""
+    def cut(rows: DataFrame, left: int) -> DataFrame:
+        """key, rest, f to a row for each block of the rest, which has `left` digits."""
+        digits = -(-left // (radius + 1))
+        blocks = [F.struct(F.concat("key", F.lit(f"/{i}:"), F.substring("rest", 1 + i * digits, digits)).alias("key"), F.concat(F.substring("rest", 1, i * digits), F.substring("rest", 1 + (i + 1) * digits, left)).alias("rest")) for i in range(-(-left // digits))]
+        return rows.select("f", F.explode(F.array(*blocks)).alias("t")).select("f", "t.key", "t.rest", F.length("t.rest").alias("left"))
+
+    rows = materialized(cut(f.select("f", F.lit("").alias("key"), F.col("f").alias("rest")), 32), "blocks")
+    out = None
+    for _ in range(levels):
+        hot = materialized(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"), "hot")
+        if hot.isEmpty():
+            break
+        cold = rows.join(hot, "key", "left_anti").select("key", "f")
+        out = cold if out is None else out.unionByName(cold)
+        split = rows.join(hot, "key", "left_semi")
+        lengths = [r[0] for r in split.select("left").distinct().collect()]
+        parts = [cut(split.where(F.col("left") == n), n) for n in lengths if n > radius]
+        rest = split.where(F.col("left") <= radius).select("f", "key", "rest", "left")
+        for part in parts:
+            rest = rest.unionByName(part)
+        rows = materialized(rest, "blocks")
+    last = rows.select("key", "f")
+    return last if out is None else out.unionByName(last)
+
+
+def neighbours(prints: DataFrame, fingerprint_col: str = "fingerprint", radius: int = 3, most: int = 1000, levels: int = 3) -> DataFrame:
     """All pairs a < b of different fingerprints (hex strings of 32) that differ in 1 to radius bits, with `distance`.
     Equal fingerprints count once, so copies add nothing; nulls have no neighbours."""
     f = prints.select(F.col(fingerprint_col).cast("string").alias("f")).where("f IS NOT NULL").distinct()
-    digits = -(-32 // (radius + 1))
-    blocks = [F.struct(F.lit(i).alias("i"), F.substring("f", 1 + i * digits, digits).alias("block")) for i in range(-(-32 // digits))]
-    tables = f.select("f", F.explode(F.array(*blocks)).alias("t")).select("f", "t.i", "t.block")
+    tables = block_tables(f, radius, most, levels)
     long = lambda name, at: F.conv(F.substring(name, at, 8), 16, 10).cast("long")
-    pairs = tables.select(F.col("f").alias("a"), "i", "block").join(tables.select(F.col("f").alias("b"), "i", "block"), ["i", "block"]).where("a < b")
+    pairs = tables.withColumnRenamed("f", "a").join(tables.withColumnRenamed("f", "b"), "key").where("a < b")
     apart = sum((F.bit_count(long("a", at).bitwiseXOR(long("b", at))) for at in (1, 9, 17, 25)), F.lit(0))
     return pairs.withColumn("distance", apart).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+
+
+def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = SHINGLE) -> DataFrame:
+    """A row for each document: id_col, fingerprint, class_id (the smallest id with this fingerprint, null where none has an
+    id), and n_near and nearest, the number of other fingerprints within the radius and the least distance (null: none).
+    Copies are one fingerprint, so they meet nothing. A text's terms are summed in the task that reads it."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    prints = fingerprints(rows, "_text", ["_id", "_row"], shingle).select("_id", as_hex(F.col("_f0"), F.col("_f1")).alias("fingerprint"))
+    prints = materialized(prints, "prints")
+    pairs = materialized(neighbours(prints, "fingerprint", radius), "near")
+    ends = pairs.select(F.col("a").alias("fingerprint"), "distance").unionByName(pairs.select(F.col("b").alias("fingerprint"), "distance"))
+    near = ends.groupBy("fingerprint").agg(F.count("*").alias("n_near"), F.min("distance").alias("nearest"))
+    classes = prints.groupBy("fingerprint").agg(F.min("_id").alias("class_id")).join(near, "fingerprint", "left")
+    out = with_groups(prints, materialized(classes, "classes"), "fingerprint", F.col("_id"))
+    return out.select(F.col("_id").alias(id_col), "fingerprint", "class_id", F.coalesce("n_near", F.lit(0)).alias("n_near"), "nearest")

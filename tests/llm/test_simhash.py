@@ -72,3 +72,31 @@ def test_neighbours(spark):
     for radius in (1, 3, 4):
         want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in all_ for b in all_ if a < b and (a ^ b).bit_count() <= radius}
         assert {tuple(r) for r in simhash.neighbours(rows, radius=radius).collect()} == want
+
+
+def test_hot_blocks(spark):
+    """Blocks that very many fingerprints share are cut again; no pair is lost."""
+    rng = random.Random(9)
+    base = rng.getrandbits(128)
+    values = sorted({base ^ sum(1 << b for b in rng.sample(range(40), rng.randint(0, 9))) for _ in range(300)})
+    rows = spark.createDataFrame([(f"{v:032x}",) for v in values], "fingerprint string")
+    for levels in (1, 3):
+        want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3}
+        assert {tuple(r) for r in simhash.neighbours(rows, radius=3, most=20, levels=levels).collect()} == want
+    tables = simhash.block_tables(rows.select(F.col("fingerprint").alias("f")), 3, 20, 3)
+    assert tables.groupBy("key").count().agg(F.max("count")).first()[0] < len(values)
+
+
+def test_near_documents(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    docs = [(5, base, "a"), (3, base, "b"), (4, base + " x", "a"), (7, base.replace("w200", "q"), "a"), (8, "other words", "a"), (9, None, "a"), (10, "", "a"), (None, base, "a")]
+    rows = simhash.near_documents(cases.docs(spark, docs), radius=40).collect()
+    f = prints(spark, {t or "" for _, t, _ in docs})
+    assert len(rows) == len(docs)
+    for r in rows:
+        text = next(t or "" for i, t, _ in docs if i == r["doc_id"])
+        apart = [(int(f[text], 16) ^ int(x, 16)).bit_count() for x in set(f.values()) if x != f[text]]
+        near = [d for d in apart if d <= 40]
+        assert (r["fingerprint"], r["n_near"], r["nearest"]) == (f[text], len(near), min(near, default=None))
+        assert r["class_id"] == min(i for i, t, _ in docs if i is not None and f[t or ""] == f[text])
+    assert simhash.near_documents(cases.empty(spark)).count() == 0
