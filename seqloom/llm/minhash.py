@@ -343,8 +343,9 @@ def between_parts(members: DataFrame, width: int, percent: int) -> DataFrame:
     sets = map_batches(members.select("_id", "cluster", "known", "_text"), cut, f"_id {kind}, cluster {kind}, known {kind}, text long, n long, set array<bigint>")
     sets = materialized(sets.where("n > 0").dropDuplicates(["_id", "text"]), "sets")
     counted = sets.select("cluster", F.explode("set").alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("uses")).where("uses > 1")
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("size"))
-    half = counted.join(sizes, "cluster").where("2 * uses > size").groupBy("cluster").agg(F.collect_list("term").alias("base"))
+    sizes = materialized(sets.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
+    # at most twice as many as a set of the cluster has on average
+    half = with_groups(counted, sizes, "cluster", F.col("term")).where("2 * uses > size").groupBy("cluster").agg(F.collect_list("term").alias("base"))
     bases = materialized(sizes.join(half, "cluster", "left").select("cluster", F.coalesce("base", F.array().cast("array<bigint>")).alias("base")), "bases")
     row = ["_id", "text", "cluster", "known", "n", "d", "g", "low"]
     differing = with_groups(sets, bases, "cluster", F.col("_id")).withColumn("diff", F.concat(F.array_except("set", "base"), F.array_except("base", "set")))
