@@ -255,8 +255,9 @@ class Model:
         return sigmoid(best).astype(float)
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 280, batch: int = 96, rate: float = 0.02, seed: int = 3) -> Model:
-    """Takes about so many steps, at least five epochs; a small sample has smaller batches and more epochs."""
+def train(texts: list[str], labels: np.ndarray, steps: int = 280, batch: int = 96, rate: float = 0.02, seed: int = 3, counts_first: bool = True) -> Model:
+    """Takes about so many steps, at least five epochs; a small sample has smaller batches and more epochs. counts_first: the
+    embeddings begin with what counts of words and n-grams say; without, they begin at random."""
     if not len(labels) or labels.min() == labels.max():
         return Model(None, float(labels.mean()) if len(labels) else 0.5)
     net, rng = Network(seed), np.random.default_rng(seed)
@@ -268,12 +269,13 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 280, batch: int = 9
     first = np.searchsorted(owner, np.arange(len(ids) + 1))
     batch = min(batch, max(16, len(texts) // 16))
     epochs = max(5, -(-steps * batch // len(texts)))
-    # the embeddings' first two columns start as what word and n-gram counts say about the label
-    used, counts = gram_rows(words)
-    ends = np.concatenate(([0], np.cumsum(counts)))
-    at = word_rows(words)
-    net.p["word"][:, 0] = evidence([at[t] for t in ids], labels, WORD_ROWS) / 3
-    net.p["gram"][:, 1] = evidence([np.concatenate([used[ends[w] : ends[w + 1]] for w in set(t)] or [used[:0]]) for t in ids], labels, GRAM_ROWS) / 3
+    if counts_first:
+        # the embeddings' first two columns start as what word and n-gram counts say about the label
+        used, counts = gram_rows(words)
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        at = word_rows(words)
+        net.p["word"][:, 0] = evidence([at[t] for t in ids], labels, WORD_ROWS) / 3
+        net.p["gram"][:, 1] = evidence([np.concatenate([used[ends[w] : ends[w + 1]] for w in set(t)] or [used[:0]]) for t in ids], labels, GRAM_ROWS) / 3
     weight = np.where(labels > 0, np.sqrt((len(labels) - labels.sum()) / labels.sum()), 1.0)
     for epoch in range(epochs):
         trainer.rate = rate * (1 - epoch / epochs) + 0.002
@@ -295,12 +297,12 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 280, batch: int = 9
     return Model(net)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_positive: int = MAX_POSITIVE, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_positive: int = MAX_POSITIVE, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
     """Learns from max_rows rows at most, of max_chars characters at most: 18 million characters at most come to the driver."""
     short = docs.where(F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) <= max_chars)
     rows = labelled(short.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")), labels, "toxic", max_rows, max_positive, id_col)
     got = sorted((r["_id"], r["_text"], r["_label"]) for r in rows.collect())
-    return train([t for _, t, _ in got], np.array([y for _, _, y in got], float))
+    return train([t for _, t, _ in got], np.array([y for _, _, y in got], float), **options)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
