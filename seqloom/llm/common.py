@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -20,18 +24,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine, said aloud and
+    removed at the end: that does for local runs only."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local.get("path")
     if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="seqloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="seqloom-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = _local["path"] = f"file://{folder}"
+        warnings.warn(f"spark.checkpoint.dir isn't set; intermediate tables go to {path}", stacklevel=2)
     return path.rstrip("/")
 
 
+_local: dict[str, str] = {}
+#: The folders that this process has made, the latest last.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/seqloom-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/seqloom-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def marked() -> int:
+    """For `release`: what is made from here on."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Deletes the intermediate tables made since a mark, all but one. Tables that read them can't be used any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _made[since:]:
+        if path != keep:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    _made[since:] = [keep] if keep in _made[since:] else []
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:

@@ -6,8 +6,8 @@ prefix as long as some rule's path) are hashed, found by vectorised binary searc
 so that two strings with one key do no harm. The longest rule that fits wins. The array says block only for what
 it holds: a url that no rule fits is allowed.
 
-The two files go to the executors with SparkContext.addFile; each task maps them. Their size is checked against
-max_bytes first.
+The driver writes the two files to a folder of its own, which goes when it ends, and they go to the executors with
+SparkContext.addFile; each task maps them. Their size is checked against max_bytes first.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule, and is allowed. Repeated rows
 count each; an empty table gives an empty table; an empty rule list allows all.
@@ -15,7 +15,9 @@ count each; an empty table gives an empty table; an empty rule list allows all.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -107,7 +109,9 @@ class DigestArray:
 
 def judge_urls(spark: SparkSession, urls: DataFrame, id_col: str, url_col: str, rules: Sequence[Rule]) -> DataFrame:
     """id_col, host, path, rule, verdict of each row. No shuffle."""
-    files = write_digests(rules, tempfile.mkdtemp(prefix="digests-"))
+    folder = tempfile.mkdtemp(prefix="digests-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    files = write_digests(rules, folder)
     for f in files:
         spark.sparkContext.addFile(f)
     names = [os.path.basename(f) for f in files]
