@@ -22,10 +22,34 @@ GENETIC_CODE = {a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate(CODE_B
 _SWAP = str.maketrans(LETTERS, COMPLEMENTS)
 
 
-def synonyms(aa: str) -> list[str]:
+# Genetic codes by what they differ in from the standard one.
+CODES: dict[str, dict[str, str]] = {
+    "Standard": {},
+    "Bacterial": {},
+    "Vertebrate Mitochondrial": {"TGA": "W", "ATA": "M", "AGA": "*", "AGG": "*"},
+    "Yeast Mitochondrial": {"TGA": "W", "ATA": "M", "CTT": "T", "CTC": "T", "CTA": "T", "CTG": "T"},
+    "Mold Mitochondrial": {"TGA": "W"},
+    "Mycoplasma": {"TGA": "W"},
+    "Invertebrate Mitochondrial": {"TGA": "W", "ATA": "M", "AGA": "S", "AGG": "S"},
+    "Ciliate Nuclear": {"TAA": "Q", "TAG": "Q"},
+    "Alternative Yeast Nuclear": {"CTG": "S"},
+}
+
+
+def code_table(code: str | dict[str, str] | tuple[tuple[str, str], ...] = "Standard") -> dict[str, str]:
+    """Codon to amino acid, by the name of a code, or as given in whole."""
+    if not isinstance(code, str):
+        return dict(code)
+    if code not in CODES:
+        raise ValueError(f"no such genetic code: {code!r}; known are {', '.join(CODES)}")
+    return GENETIC_CODE | CODES[code]
+
+
+def synonyms(aa: str, code: str | dict[str, str] | tuple[tuple[str, str], ...] = "Standard") -> list[str]:
     """The codons of an amino acid, in alphabetical order; X stands for any but a stop, B, J and Z for pairs."""
-    wide = {"X": [a for a in set(GENETIC_CODE.values()) if a != "*"], "B": ["D", "N"], "J": ["I", "L"], "Z": ["E", "Q"]}
-    return sorted(c for c, a in GENETIC_CODE.items() if a in wide.get(aa, [aa]))
+    table = code_table(code)
+    wide = {"X": [a for a in set(table.values()) if a != "*"], "B": ["D", "N"], "J": ["I", "L"], "Z": ["E", "Q"]}
+    return sorted(c for c, a in table.items() if a in wide.get(aa, [aa]))
 
 
 def revcomp(s: str) -> str:
@@ -89,9 +113,9 @@ def mapping(table: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
 
-def translate(q: Column, start: str | None = None) -> Column:
+def translate(q: Column, start: str | None = None, code: str | dict[str, str] | tuple[tuple[str, str], ...] = "Standard") -> Column:
     """The protein, `*` for stops. With the name of a table of start codons, a first codon in it gives M."""
-    table = mapping(GENETIC_CODE)
+    table = mapping(code_table(code))
     protein = F.array_join(F.transform(codons(q), lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
     if start is None:
         return protein
@@ -99,9 +123,9 @@ def translate(q: Column, start: str | None = None) -> Column:
     return F.when(first, F.concat(F.lit("M"), F.substring(protein, 2, 1 << 30))).otherwise(protein)
 
 
-def back_translate(protein: Column, seed: int | None = None) -> Column:
+def back_translate(protein: Column, seed: int | None = None, code: str | dict[str, str] | tuple[tuple[str, str], ...] = "Standard") -> Column:
     """A sequence of the protein: each amino acid's first codon, or with a seed one chosen by a hash of seed and place."""
-    table = mapping({a: ",".join(synonyms(a)) for a in sorted(set(GENETIC_CODE.values()) | set("XBJZ"))})
+    table = mapping({a: ",".join(synonyms(a, code)) for a in sorted(set(code_table(code).values()) | set("XBJZ"))})
     pick = lambda a, i: F.split(F.element_at(table, a), ",")
     if seed is None:
         chosen = F.transform(letters(protein), lambda a: F.get(pick(a, None), F.lit(0)))

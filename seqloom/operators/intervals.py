@@ -1,15 +1,21 @@
 """Operators on locations and positions: overlap, merging, grouping, subdivision, edits.
 
-In-row forms work on arrays of structs (start, end, strand) and need no shuffle. Table forms, for locations that are rows,
-use window functions partitioned by the sequence.
+In-row forms work on arrays of structs (start, end, strand) and need no shuffle. What a fold gathers is kept in pieces of
+CHUNK, so that a step copies no more than a piece, whatever the length. Table forms, for locations that are rows, use window
+functions partitioned by the sequence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.dna import let
+
+CHUNK = 256
 LOCATION = "struct<start:int,end:int,strand:int>"
 LOCATIONS = f"array<{LOCATION}>"
 
@@ -62,44 +68,63 @@ def recentred(locations: Column, length: Column) -> Column:
     return F.transform(meet, lambda x: shifted(x, -length))
 
 
+def gathered(items: Column, kind: str, first: Callable[[Column], Column], joins: Callable[[Column, Column], Column], grown: Callable[[Column, Column], Column]) -> Column:
+    """Runs of items in order, as values of a type: an item that joins the open run changes it, any other one begins a run."""
+
+    def step(a: Column, x: Column) -> Column:
+        near = joins(a["open"], x)
+        stays = a["open"].isNull() | near
+        full = F.size(a["part"]) >= CHUNK
+        whole = F.when(~stays & full, F.concat(a["whole"], F.array(a["part"]))).otherwise(a["whole"])
+        part = F.when(stays, a["part"]).when(full, F.array(a["open"])).otherwise(F.concat(a["part"], F.array(a["open"])))
+        return F.struct(whole.alias("whole"), part.alias("part"), F.when(near, grown(a["open"], x)).otherwise(first(x)).alias("open"))
+
+    def closed(a: Column) -> Column:
+        last = F.when(a["open"].isNull(), F.array().cast(f"array<{kind}>")).otherwise(F.array(a["open"]))
+        return F.concat(F.flatten(a["whole"]), a["part"], last)
+
+    start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("whole"), F.array().cast(f"array<{kind}>").alias("part"), F.lit(None).cast(kind).alias("open"))
+    return F.aggregate(items, start, step, closed)
+
+
 def merged(locations: Column) -> Column:
     """Locations that overlap, merged; the strand is the first's."""
+    grown = lambda run, x: location(run["start"], F.greatest(run["end"], x["end"]), run["strand"])
+    return gathered(F.array_sort(locations), LOCATION, lambda x: location(x["start"], x["end"], x["strand"]), lambda run, x: x["start"] < run["end"], grown)
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(location(last["start"], F.greatest(last["end"], x["end"]), last["strand"])))
-        return F.when((F.size(acc) > 0) & (x["start"] < F.get(acc, F.size(acc) - 1)["end"]), joined).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(F.array_sort(locations), no_locations(), step)
+def grouped_spans(sorted_starts: Column, max_gap: int, max_spread: int | None = None) -> Column:
+    """Runs of sorted positions, as structs of the run's first and last position, and its first index and size: a position
+    joins while it is less than max_gap behind the last one and less than max_spread behind the run's first."""
 
+    def span(first: Column, last: Column, at: Column, n: Column) -> Column:
+        return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), at.cast("int").alias("at"), n.cast("int").alias("n"))
 
-def grouped(sorted_starts: Column, max_gap: int, max_spread: int | None = None) -> Column:
-    """Runs of sorted positions, as arrays: a position joins while it is less than max_gap behind the last one and less
-    than max_spread behind the run's first."""
-    empty = F.array().cast("array<array<int>>")
+    def joins(run: Column, x: Column) -> Column:
+        near = x["x"] - run["last"] < max_gap
+        return near if max_spread is None else near & (x["x"] - run["first"] < max_spread)
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.get(acc, F.size(acc) - 1)
-        near = (F.size(acc) > 0) & (x - F.get(run, F.size(run) - 1) < max_gap)
-        if max_spread is not None:
-            near = near & (x - F.get(run, F.lit(0)) < max_spread)
-        return F.when(near, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(run, F.array(x))))).otherwise(F.concat(acc, F.array(F.array(x))))
+    placed = F.transform(sorted_starts.cast("array<int>"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    return gathered(placed, "struct<first:int,last:int,at:int,n:int>", lambda x: span(x["x"], x["x"], x["i"], F.lit(1)), joins, lambda run, x: span(run["first"], x["x"], run["at"], run["n"] + 1))
 
-    return F.aggregate(sorted_starts.cast("array<int>"), empty, step)
+
+def grouped(sorted_starts: Column, max_gap: int, max_spread: int | None = None) -> Column:
+    """As grouped_spans; the runs are arrays of their positions."""
+    positions = sorted_starts.cast("array<int>")
+    return let(positions, lambda p: F.transform(grouped_spans(p, max_gap, max_spread), lambda r: F.slice(p, r["at"] + 1, r["n"])))
 
 
 def grouped_segments(locations: Column, max_start_gap: int, max_start_spread: int | None = None) -> Column:
     """As grouped, by the starts of locations; a run becomes the location from its first start to its last end."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fields = lambda first, last, end: F.array(F.struct(first.alias("first"), last.alias("last"), end.alias("end")))
-        run = F.get(acc, F.size(acc) - 1)
-        near = (F.size(acc) > 0) & (x["start"] - run["last"] < max_start_gap)
-        if max_start_spread is not None:
-            near = near & (x["start"] - run["first"] < max_start_spread)
-        return F.when(near, F.concat(F.slice(acc, 1, F.size(acc) - 1), fields(run["first"], x["start"], F.greatest(run["end"], x["end"])))).otherwise(F.concat(acc, fields(x["start"], x["start"], x["end"])))
+    def run(first: Column, last: Column, end: Column) -> Column:
+        return F.struct(first.alias("first"), last.alias("last"), end.alias("end"))
+
+    def joins(r: Column, x: Column) -> Column:
+        near = x["start"] - r["last"] < max_start_gap
+        return near if max_start_spread is None else near & (x["start"] - r["first"] < max_start_spread)
 
-    runs = F.aggregate(F.array_sort(locations), F.array().cast("array<struct<first:int,last:int,end:int>>"), step)
+    runs = gathered(F.array_sort(locations), "struct<first:int,last:int,end:int>", lambda x: run(x["start"], x["start"], x["end"]), joins, lambda r, x: run(r["first"], x["start"], F.greatest(r["end"], x["end"])))
     return F.transform(runs, lambda r: location(r["first"], r["end"]))
 
 
@@ -110,16 +135,13 @@ def subdivided(loc: Column, span: int) -> Column:
 
 
 def segments(flags: Column) -> Column:
-    """The maximal runs of true, as locations."""
+    """The maximal runs of true, as locations: from each true one behind none to each before none."""
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.get(acc["runs"], F.size(acc["runs"]) - 1)
-        longer = F.concat(F.slice(acc["runs"], 1, F.size(acc["runs"]) - 1), F.array(location(run["start"], run["end"] + 1)))
-        fresh = F.concat(acc["runs"], F.array(location(acc["i"], acc["i"] + 1)))
-        runs = F.when(~x, acc["runs"]).when((F.size(acc["runs"]) > 0) & (run["end"] == acc["i"]), longer).otherwise(fresh)
-        return F.struct((acc["i"] + 1).alias("i"), runs.alias("runs"))
+    def runs(on: Column) -> Column:
+        edge = lambda by: F.filter(F.transform(on, lambda x, i: F.when(x & ~F.coalesce(F.get(on, i + by), F.lit(False)), i)), lambda i: i.isNotNull())
+        return F.zip_with(edge(-1), edge(1), lambda a, b: location(a, b + 1))
 
-    return F.aggregate(flags, F.struct(F.lit(0).alias("i"), no_locations().alias("runs")), step, lambda a: a["runs"])
+    return let(flags, runs)
 
 
 # Tables of locations

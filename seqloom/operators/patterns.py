@@ -10,8 +10,9 @@ import itertools
 import math
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import IUPAC, kmers, reverse_complement, revcomp
@@ -19,9 +20,32 @@ from .intervals import location, no_locations
 
 # Recognition sites of common restriction enzymes.
 ENZYME_SITES = {
-    "AarI": "CACCTGC", "BamHI": "GGATCC", "BbsI": "GAAGAC", "BsaI": "GGTCTC", "BsmBI": "CGTCTC", "EcoRI": "GAATTC", "HindIII": "AAGCTT", "KpnI": "GGTACC",
-    "NcoI": "CCATGG", "NdeI": "CATATG", "NheI": "GCTAGC", "NotI": "GCGGCCGC", "PstI": "CTGCAG", "SacI": "GAGCTC", "SapI": "GCTCTTC", "SpeI": "ACTAGT", "XbaI": "TCTAGA", "XhoI": "CTCGAG",
+    "AarI": "CACCTGC", "AscI": "GGCGCGCC", "AvrII": "CCTAGG", "BamHI": "GGATCC", "BbsI": "GAAGAC", "BclI": "TGATCA", "BglII": "AGATCT",
+    "BsaI": "GGTCTC", "BsmBI": "CGTCTC", "BspEI": "TCCGGA", "ClaI": "ATCGAT", "DpnI": "GATC", "EcoRI": "GAATTC", "EcoRV": "GATATC",
+    "HindIII": "AAGCTT", "HpaI": "GTTAAC", "KpnI": "GGTACC", "MluI": "ACGCGT", "NcoI": "CCATGG", "NdeI": "CATATG", "NheI": "GCTAGC",
+    "NotI": "GCGGCCGC", "NsiI": "ATGCAT", "PacI": "TTAATTAA", "PmeI": "GTTTAAAC", "PstI": "CTGCAG", "SacI": "GAGCTC", "SalI": "GTCGAC",
+    "SapI": "GCTCTTC", "SmaI": "CCCGGG", "SpeI": "ACTAGT", "SphI": "GCATGC", "StuI": "AGGCCT", "XbaI": "TCTAGA", "XhoI": "CTCGAG",
 }
+_own_sites: dict[str, str] = {}
+
+
+def enzyme_table() -> dict[str, str]:
+    """Name to site: the common ones and those that were added, which come first."""
+    return ENZYME_SITES | _own_sites
+
+
+def add_enzymes(sites: dict[str, str] | DataFrame, most: int = 100_000) -> None:
+    """Makes sites known to patterns: a dict, or a table (name, site) of `most` rows at most."""
+    if isinstance(sites, DataFrame):
+        rows = sites.select("name", "site").where("name IS NOT NULL AND site IS NOT NULL").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} enzymes")
+        sites = {r["name"]: r["site"] for r in rows}
+    for name, site in sites.items():
+        if not site or not set(site) <= set(IUPAC):
+            raise ValueError(f"the site of {name} is no word of bases: {site!r}")
+    _own_sites.update(sites)
+    _parsed.cache_clear()
 
 
 def iupac_regex(word: str) -> str:
@@ -83,7 +107,9 @@ def iupac(word: str, name: str = "") -> Pattern:
 
 
 def enzyme_site(name: str) -> Pattern:
-    return iupac(ENZYME_SITES[name], f"{name}_site")
+    if name not in enzyme_table():
+        raise ValueError(f"no enzyme is known by the name {name!r}; add_enzymes takes a table of names and sites")
+    return iupac(enzyme_table()[name], f"{name}_site")
 
 
 def homopolymer(base: str, n: int) -> Pattern:
@@ -96,14 +122,17 @@ def repeated_kmer(n: int, k: int) -> Pattern:
 
 
 def pattern(text: str | Pattern) -> Pattern:
-    """9xA, 3x4mer, BsmBI_site, an IUPAC word, or else a regular expression."""
-    if not isinstance(text, str):
-        return text
+    """9xA, 3x4mer, BsmBI_site, an IUPAC word, or else a regular expression. A site of an unknown enzyme is an error."""
+    return _parsed(text) if isinstance(text, str) else text
+
+
+@lru_cache(maxsize=4096)
+def _parsed(text: str) -> Pattern:
     if m := re.fullmatch(r"(\d+)x([ATGC])", text):
         return homopolymer(m[2], int(m[1]))
     if m := re.fullmatch(r"(\d+)x(\d+)mer", text):
         return repeated_kmer(int(m[1]), int(m[2]))
-    if text.endswith("_site") and text[:-5] in ENZYME_SITES:
+    if text.endswith("_site"):
         return enzyme_site(text[:-5])
     if text and set(text) <= set(IUPAC):
         return iupac(text)
@@ -176,4 +205,4 @@ class Pssm:
         return plus if strand == 1 else minus if strand == -1 else plus + minus
 
 
-__all__ = ["ENZYME_SITES", "Pattern", "Pssm", "enzyme_site", "homopolymer", "iupac", "iupac_regex", "iupac_variants", "no_locations", "pattern", "repeated_kmer"]
+__all__ = ["ENZYME_SITES", "Pattern", "Pssm", "add_enzymes", "enzyme_table", "enzyme_site", "homopolymer", "iupac", "iupac_regex", "iupac_variants", "no_locations", "pattern", "repeated_kmer"]

@@ -4,6 +4,9 @@ Each has two forms of one definition. `score` and `locations` are Column express
 any number of specifications is evaluated in one projection, without a shuffle. `measure` scores one Python string, for the
 search in `solver`. A score of 0 or more passes; `best` is the highest one.
 
+For the search, `localized` gives a specification on less, or with what lies outside counted once: over changes within
+an interval, its score differs from the whole one's by a constant.
+
 Limits of whole locations follow the usual rules of such checks where they aren't obvious: the k-mer and hairpin scans stop
 one start before the last possible one.
 """
@@ -14,14 +17,15 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import dna, parsing
+from ..functions import dna, kernels, parsing
 from ..functions.dna import GENETIC_CODE, IUPAC, revcomp, synonyms
-from .intervals import extended, grouped, grouped_segments, location, no_locations
+from .intervals import extended, grouped_spans, location, no_locations
 from .patterns import Pattern, Pssm, pattern
 
 Place = tuple[int, int, int]
@@ -45,9 +49,11 @@ class Spec:
     place: Place | None = field(default=None, kw_only=True)
     boost: float = field(default=1.0, kw_only=True)
 
+    #: An objective that others' changes mustn't lower, but that isn't worked at.
+    passive: bool = field(default=False, kw_only=True)
+
     best = 0.0
     priority = 0
-    passive = False
     #: How far from a change the score can change; None where that isn't bounded.
     reach = None
 
@@ -107,8 +113,8 @@ class Spec:
         """The specification with what it takes from the first sequence."""
         return self
 
-    def localized(self, start: int, end: int) -> Spec | None:
-        """The specification for a change within [start, end): itself, on less, or None where the change doesn't matter."""
+    def localized(self, start: int, end: int, s: str | None = None) -> Spec | None:
+        """The specification for a change of s within [start, end): itself, on less, or None where the change doesn't matter."""
         low, high = self.place[:2] if self.place else (0, 1 << 60)
         if self.reach is None:
             return self if low < end and start < high else None
@@ -118,6 +124,16 @@ class Spec:
     def shifted(self, by: int) -> Spec:
         return self if self.place is None else replace(self, place=(self.place[0] + by, self.place[1] + by, self.place[2]))
 
+    def as_passive(self) -> Spec:
+        return replace(self, passive=True)
+
+    # hooks of the search: whether they did the work
+    def resolve_in(self, problem) -> bool:
+        return False
+
+    def optimize_in(self, problem) -> bool:
+        return False
+
     @property
     def kind(self) -> str:
         return type(self).__name__
@@ -125,6 +141,14 @@ class Spec:
     def parameters(self) -> str:
         return ""
 
+    def short_label(self) -> str:
+        """A few words, for features and columns."""
+        return f"{self.kind} {p}" if (p := self.parameters()) else self.kind
+
+    def breach_label(self) -> str:
+        """What a breach is."""
+        return self.short_label()
+
     def label(self) -> str:
         where = "" if self.place is None else "[{}-{}{}]".format(*self.place[:2], {1: "(+)", -1: "(-)"}.get(self.place[2], ""))
         return f"{self.kind}{where}" + (f"({p})" if (p := self.parameters()) else "")
@@ -173,6 +197,12 @@ class AvoidPattern(Spec):
     def parameters(self) -> str:
         return self.p.name
 
+    def short_label(self) -> str:
+        return f"No {self.p.name}"
+
+    def breach_label(self) -> str:
+        return self.p.name
+
 
 @dataclass(frozen=True)
 class EnforcePatternOccurence(AvoidPattern):
@@ -205,12 +235,27 @@ class EnforcePatternOccurence(AvoidPattern):
         strands = [revcomp(words[0])] if self.on == -1 else [words[0]] if self.on == 1 else [words[0], revcomp(words[0])]
         return [s[:i] + w + s[i + n :] for w in strands for i in order]
 
+    def resolve_in(self, problem) -> bool:
+        """Puts the pattern where the others allow it, until there are enough."""
+        while len(self.found(problem.sequence)) < self.occurences:
+            now, held = self.measure(problem.sequence)[0], [c for c in problem.constraints if c.measure(problem.sequence)[0] >= 0]
+            for s in self.insertions(problem.sequence):
+                if self.measure(s)[0] > now and problem.allowed(s) and all(c.measure(s)[0] >= 0 for c in held):
+                    problem.sequence = s
+                    break
+            else:
+                return False
+        return self.measure(problem.sequence)[0] >= 0
+
+    def short_label(self) -> str:
+        return f"{self.occurences} {self.p.name}"
+
 
 def dna_word(name: str) -> str | None:
     """A plain word that the named pattern matches."""
-    from .patterns import ENZYME_SITES
+    from .patterns import enzyme_table
 
-    word = ENZYME_SITES.get(name.removesuffix("_site"), name)
+    word = enzyme_table().get(name.removesuffix("_site"), name)
     return "".join(IUPAC[x][0] for x in word) if set(word) <= set(IUPAC) else None
 
 
@@ -238,30 +283,17 @@ class EnforceGCContent(Spec):
         low, high = self.limits
         return F.greatest(F.lit(0.0), low - gc) + F.greatest(F.lit(0.0), gc - high)
 
-    def window_gc(self, q: Column) -> Column:
-        """The number of G and C in each full window: running sums of what enters less what leaves, in one pass."""
-        on = F.transform(dna.letters(q), lambda c: c.isin("G", "C").cast("int"))
-        change = F.zip_with(on, F.concat(F.array_repeat(F.lit(0), self.window), on), lambda a, b: a - b)
-        sums = F.aggregate(F.filter(change, lambda x: x.isNotNull()), F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(0.0).alias("bad"), F.array().cast("array<int>").alias("at")), self._slide)
-        return sums
-
-    def _slide(self, a: Column, d: Column) -> Column:
-        n, i = a["n"] + d, a["i"] + 1
-        bad = F.when(i >= self.window, self._breach(n / self.window)).otherwise(0.0)
-        return F.struct(n.alias("n"), i.alias("i"), (a["bad"] + bad).alias("bad"), F.when(bad > 0, F.concat(a["at"], F.array(i - self.window))).otherwise(a["at"]).alias("at"))
-
     def score(self, q: Column) -> Column:
         r = self.region(q)
         if self.window is None:
             return -self._breach(dna.gc_fraction(r))
-        return -self.window_gc(r)["bad"]
+        return kernels.gc_window_score(r, self.window, *self.limits)
 
     def locations(self, q: Column) -> Column:
         r = self.region(q)
         if self.window is None:
             return F.when(self.score(q) < 0, F.array(location(self.offset, self.offset + F.length(r)))).otherwise(no_locations())
-        windows = F.transform(self.window_gc(r)["at"], lambda i: location(i, i + self.window))
-        return self.upright_column(grouped_segments(windows, 1 << 30, 50))
+        return self.upright_column(kernels.gc_window_places(r, self.window, *self.limits))
 
     def measure(self, s: str):
         t, (low, high) = self.text(s), self.limits
@@ -277,10 +309,42 @@ class EnforceGCContent(Spec):
                 at.append(i - w + 1)
         return -total, self.upright([(g[0], g[-1] + w, 0) for g in runs(at, 1 << 30, 50)], s)
 
+    def localized(self, start: int, end: int, s: str | None = None) -> Spec | None:
+        low, high = self.span(s) if s is not None else (0, 0)
+        if self.window is not None or s is None or low >= end or start >= high:
+            return super().localized(start, end, s)
+        a, b = max(low, start), min(high, end)
+        outside = sum(c in "GC" for c in s[low:a]) + sum(c in "GC" for c in s[b:high])
+        return PartOfGCContent(*self.limits, outside, high - low, place=(a, b, 0), boost=self.boost)
+
     def parameters(self) -> str:
         low, high = self.limits
         return f"mini:{low:g}, maxi:{high:g}" + (f", window:{self.window}" if self.window else "")
 
+    def short_label(self) -> str:
+        low, high = self.limits
+        return (f"{100 * low:g}% GC" if low == high else f"{100 * low:g}-{100 * high:g}% GC") + (f"/{self.window}bp" if self.window else "")
+
+    def breach_label(self) -> str:
+        low, high = self.limits
+        said = f"GC != {100 * low:g}%" if low == high else " or ".join([f"GC < {100 * low:g}%"] * (low > 0) + [f"GC > {100 * high:g}%"] * (high < 1))
+        return said + (f"/{self.window}bp" if self.window else "")
+
+
+@dataclass(frozen=True)
+class PartOfGCContent(Spec):
+    """The global share of G and C, as far as a part changes it."""
+
+    low: float
+    high: float
+    outside: int
+    length: int
+
+    def measure(self, s: str):
+        gc = (self.outside + sum(c in "GC" for c in self.text(s))) / self.length
+        score = -(max(0.0, self.low - gc) + max(0.0, gc - self.high))
+        return score, [(*self.place[:2], 0)] if score < 0 else []
+
 
 @dataclass(frozen=True)
 class EnforceTerminalGCContent(Spec):
@@ -312,54 +376,124 @@ class EnforceTerminalGCContent(Spec):
         return -bad, at
 
 
+@lru_cache(maxsize=8)
+def canonical_words(s: str, k: int, both_strands: bool) -> tuple[str, ...]:
+    words = [s[i : i + k] for i in range(max(0, len(s) - k + 1))]
+    if not both_strands:
+        return tuple(words)
+    back = revcomp(s)
+    return tuple(min(w, back[len(s) - i - k : len(s) - i]) for i, w in enumerate(words))
+
+
 @dataclass(frozen=True)
 class UniquifyAllKmers(Spec):
-    """K-mers, or their reverse complements, that occur more than once."""
+    """K-mers of the place that occur more than once, or their reverse complements do, in the reference: the sequence, a
+    place, or ("here") the place itself."""
 
     k: int
     both_strands: bool = True
     last: bool = False  # whether the last k-mer counts
+    reference: Place | str | None = None
 
-    def words(self, q: Column) -> Column:
-        r = self.region(q)
-        words = dna.kmers(r, self.k)
-        words = words if self.last else F.slice(words, 1, F.greatest(F.length(r) - self.k, F.lit(0)))
-        return F.transform(words, lambda w: F.least(w, dna.reverse_complement(w))) if self.both_strands else words
-
-    def score(self, q: Column) -> Column:
-        """One pass over the sorted words: a second equal one counts two, each further one counts one."""
+    @property
+    def within(self) -> bool:
+        """Whether the place is its own reference."""
+        return self.reference in ("here", "same") or (self.reference is None and self.place is None)
 
-        def step(a: Column, w: Column) -> Column:
-            run = F.when(w == a["w"], a["run"] + 1).otherwise(F.lit(1))
-            return F.struct(w.alias("w"), run.alias("run"), (a["n"] + F.when(run == 2, 2).when(run > 2, 1).otherwise(0)).alias("n"))
+    def wide(self, n: int) -> Place | None:
+        return None if self.within else self.reference or (0, n, 0)
 
-        start = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("n"))
-        return (-F.aggregate(F.array_sort(self.words(q)), start, step)["n"]).cast("double")
+    def score(self, q: Column) -> Column:
+        if self.within:
+            return kernels.repeated_words_score(self.region(q), self.k, self.both_strands, self.last)
+        return (-F.size(self.locations(q))).cast("double")
 
     def locations(self, q: Column) -> Column:
-        start = F.array(F.struct(F.lit("").alias("w"), F.lit(-1).alias("i")))
-
-        def repeated(placed: Column) -> Column:
-            """Whether each of the sorted words is equal to the one before or behind it."""
-            with_before = F.zip_with(placed, F.concat(start, placed), lambda x, y: F.struct(x.alias("x"), (x["w"] == y["w"]).alias("s")))
-            with_both = F.zip_with(with_before, F.slice(placed, 2, 1 << 30), lambda x, y: F.struct(x["x"].alias("x"), (x["s"] | F.coalesce(x["x"]["w"] == y["w"], F.lit(False))).alias("s")))
-            return F.transform(F.filter(with_both, lambda x: x["s"] & x["x"].isNotNull()), lambda x: x["x"]["i"])
-
-        placed = F.array_sort(F.transform(self.words(q), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-        hits = F.array_sort(dna.let(placed, repeated))
-        return self.upright_column(F.transform(hits, lambda i: location(i, i + self.k)))
+        if self.within:
+            return self.upright_column(kernels.repeated_words_places(self.region(q), self.k, self.both_strands, self.last))
+        start, end = (F.lit(0), F.length(q)) if self.reference is None else map(F.lit, self.reference[:2])
+        found = kernels.repeated_words_places(dna.part(q, start, end), self.k, self.both_strands, self.last)
+        low, high = self.span_column(q)
+        found = F.transform(found, lambda x: location(x["start"] + start, x["end"] + start, x["strand"]))
+        return F.filter(found, lambda x: (x["start"] >= low) & (x["end"] < high))
+
+    def starts(self, s: str) -> tuple[range, Callable[[int], bool]]:
+        """Where words are counted, and which of them count."""
+        wide = self.wide(len(s))
+        low, high = wide[:2] if wide else self.span(s)
+        counted = range(low, max(low, min(high, len(s)) - self.k + self.last))
+        if wide is None:
+            return counted, lambda i: True
+        a, b = self.span(s)
+        return counted, lambda i: a <= i and i + self.k < b
 
     def measure(self, s: str):
-        t = self.text(s)
-        words = [t[i : i + self.k] for i in range(max(0, len(t) - self.k + self.last))]
-        words = [min(w, revcomp(w)) for w in words] if self.both_strands else words
-        n = Counter(words)
-        at = [i for i, w in enumerate(words) if n[w] > 1]
-        return float(-len(at)), self.upright([(i, i + self.k, 0) for i in at], s)
+        words = canonical_words(s, self.k, self.both_strands)
+        counted, counts = self.starts(s)
+        n = Counter(words[i] for i in counted)
+        at = [i for i in counted if n[words[i]] > 1 and counts(i)]
+        back = -1 if self.place and self.place[2] == -1 and self.wide(len(s)) is None else 0
+        return float(-len(at)), [(i, i + self.k, back) for i in at]
+
+    def localized(self, start: int, end: int, s: str | None = None) -> Spec | None:
+        """Of the words that the change touches, and those outside that are equal to one of them."""
+        if s is None:
+            return super().localized(start, end)
+        counted, counts = self.starts(s)
+        touched = range(max(counted.start, start - self.k + 1), min(counted.stop, end))
+        if not touched:
+            return None
+        words = canonical_words(s, self.k, self.both_strands)
+        now = [words[i] for i in touched]
+        return PartOfKmers(self.k, self.both_strands, touched, tuple(map(counts, touched)), (_word_counts(s, self.k, self.both_strands, counted), Counter(now)), (Counter() if self.wide(len(s)) is None else Counter(words[i] for i in counted if counts(i)), Counter(w for w, i in zip(now, touched, strict=True) if counts(i))), self.wide(len(s)) is None, place=(touched.start, touched.stop + self.k - 1, 0), boost=self.boost)
+
+    def shifted(self, by: int) -> Spec:
+        out = super().shifted(by)
+        return replace(out, reference=(self.reference[0] + by, self.reference[1] + by, self.reference[2])) if isinstance(self.reference, tuple) else out
 
     def parameters(self) -> str:
         return f"k:{self.k}"
 
+    def short_label(self) -> str:
+        return f"All {self.k}-mers unique"
+
+    def breach_label(self) -> str:
+        return f"{self.k}-mers that repeat"
+
+
+@lru_cache(maxsize=8)
+def _word_counts(s: str, k: int, both_strands: bool, counted: range) -> Counter:
+    words = canonical_words(s, k, both_strands)
+    return Counter(words[i] for i in counted)
+
+
+@dataclass(frozen=True)
+class PartOfKmers(Spec):
+    """Repeated words, as far as a part changes them. all, mine: the counts of all words and of those that count, with what
+    of them the part had at first."""
+
+    k: int
+    both_strands: bool
+    touched: range
+    count: tuple[bool, ...]
+    all: tuple[Counter, Counter]
+    mine: tuple[Counter, Counter]
+    same: bool
+
+    def measure(self, s: str):
+        a, b = self.place[:2]
+        words = canonical_words(s[a:b], self.k, self.both_strands)
+        now, (total, had), (own, own_had) = Counter(words), self.all, self.all if self.same else self.mine
+        score, at = 0, []
+        for i, w, counts in zip(self.touched, words, self.count, strict=True):
+            if counts and total[w] - had[w] + now[w] > 1:
+                at.append((i, i + self.k, 0))
+        for w, n in now.items():
+            fixed = total[w] - had[w]
+            if fixed == 1 and fixed + n > 1:  # a word outside that is no longer the only one
+                score += own[w] - own_had[w]
+        return float(-len(at) - score), at
+
 
 @dataclass(frozen=True)
 class AvoidHairpins(Spec):
@@ -368,24 +502,30 @@ class AvoidHairpins(Spec):
     stem: int = 20
     window: int = 200
 
-    def starts(self, q: Column) -> Column:
-        r, k = self.region(q), self.stem
-        words = F.slice(dna.kmers(r, k), 1, F.greatest(F.length(r) - k, F.lit(0)))
-        hits = F.transform(words, lambda w, i: F.when(F.contains(F.substring(r, i + k + 1, F.lit(self.window - k)), dna.reverse_complement(w)), i))
-        return F.filter(hits, lambda x: x.isNotNull())
+    @property
+    def reach(self):
+        return self.window
 
     def score(self, q: Column) -> Column:
-        return (-F.size(self.starts(q))).cast("double")
+        return kernels.hairpin_score(self.region(q), self.stem, self.window)
 
     def locations(self, q: Column) -> Column:
-        n = F.length(self.region(q))
-        found = F.transform(self.starts(q), lambda i: location(i, F.least(i + self.window, n)))
-        return self.upright_column(grouped_segments(found, 1 << 30, 10))
+        return self.upright_column(kernels.hairpin_places(self.region(q), self.stem, self.window))
 
     def measure(self, s: str):
         t, k = self.text(s), self.stem
-        at = [i for i in range(max(0, len(t) - k)) if revcomp(t[i : i + k]) in t[i + k : i + self.window]]
-        return float(-len(at)), self.upright([(g[0], min(g[-1] + self.window, len(t)), 0) for g in runs(at, 1 << 30, 10)], s)
+        back, n = revcomp(t), len(t)
+        at = [i for i in range(max(0, n - k)) if back[n - i - k : n - i] in t[i + k : i + self.window]]
+        return float(-len(at)), self.upright([(g[0], min(g[-1] + self.window, n), 0) for g in runs(at, 1 << 30, 10)], s)
+
+    def parameters(self) -> str:
+        return f"stem:{self.stem}, window:{self.window}"
+
+    def short_label(self) -> str:
+        return f"No hairpins of {self.stem}/{self.window}bp"
+
+    def breach_label(self) -> str:
+        return f"hairpins of {self.stem}/{self.window}bp"
 
 
 @dataclass(frozen=True)
@@ -418,9 +558,9 @@ class AvoidChanges(Spec):
         flags = dna.differences(*self.pair(q))
         if self.indices is not None:
             at = F.filter(F.transform(flags, lambda x, i: F.when(x, F.get(F.array(*map(F.lit, self.indices)), i))), lambda x: x.isNotNull())
-            return F.transform(grouped(F.array_sort(at), 1 << 30, 6), lambda g: location(F.get(g, F.lit(0)), F.get(g, F.size(g) - 1) + 1))
+            return F.transform(grouped_spans(F.array_sort(at), 1 << 30, 6), lambda g: location(g["first"], g["last"] + 1))
         at = F.filter(F.transform(flags, lambda x, i: F.when(x, i)), lambda x: x.isNotNull())
-        return self.upright_column(F.transform(grouped(at, 1 << 30, 6), lambda g: location(F.get(g, F.lit(0)), F.get(g, F.size(g) - 1) + 1)))
+        return self.upright_column(F.transform(grouped_spans(at, 1 << 30, 6), lambda g: location(g["first"], g["last"] + 1)))
 
     def at(self, s: str) -> list[int]:
         return list(self.indices) if self.indices is not None else list(range(*self.span(s)))
@@ -449,8 +589,23 @@ class AvoidChanges(Spec):
         want = revcomp(self.target) if self.place and self.place[2] == -1 else self.target
         return [(i, i + 1, (b,)) for i, b in zip(self.at(s), want, strict=True)]
 
-    def localized(self, start: int, end: int) -> Spec | None:
-        return self
+    def localized(self, start: int, end: int, s: str | None = None) -> Spec | None:
+        """On the part, with what may still change there."""
+        if s is None or self.target is None or isinstance(self.target, Column) or (self.place and self.place[2] == -1) or type(self) is not AvoidChanges:
+            return self
+        want = self.target if self.indices is None or len(self.target) == len(self.indices) else "".join(self.target[i] for i in self.indices)
+        inside = [(i, b) for i, b in zip(self.at(s), want, strict=True) if start <= i < end]
+        if not inside:
+            return None
+        n = len(self.at(s))
+        outside = sum(s[i] != b for i, b in zip(self.at(s), want, strict=True) if not start <= i < end)
+        return replace(self, place=None, indices=tuple(i for i, _ in inside), target="".join(b for _, b in inside), max_edits=self.limit(n) - outside, max_edits_percent=None)
+
+    def short_label(self) -> str:
+        return "Keep" if self.enforced() else f"At most {self.max_edits if self.max_edits_percent is None else f'{self.max_edits_percent:g}%'} edits"
+
+    def breach_label(self) -> str:
+        return "edits"
 
 
 @dataclass(frozen=True)
@@ -512,7 +667,7 @@ class EnforceSequence(Spec):
         return (-F.size(self.wrong(q))).cast("double")
 
     def locations(self, q: Column) -> Column:
-        return self.upright_column(F.transform(grouped(self.wrong(q), 1 << 30, 6), lambda g: location(F.get(g, F.lit(0)), F.get(g, F.size(g) - 1) + 1)))
+        return self.upright_column(F.transform(grouped_spans(self.wrong(q), 1 << 30, 6), lambda g: location(g["first"], g["last"] + 1)))
 
     def measure(self, s: str):
         at = [i for i, (c, x) in enumerate(zip(self.text(s), self.sequence, strict=True)) if c not in IUPAC[x]]
@@ -526,7 +681,7 @@ class EnforceSequence(Spec):
         start = self.span(s)[0]
         return [(start + i, start + i + 1, tuple(IUPAC[x])) for i, x in enumerate(word)]
 
-    def localized(self, start: int, end: int) -> Spec | None:
+    def localized(self, start: int, end: int, s: str | None = None) -> Spec | None:
         low, high = self.place[:2] if self.place else (0, len(self.sequence))
         return self if low < end and start < high else None
 
@@ -539,9 +694,9 @@ class EnforceChoice(Spec):
     choices: tuple[str, ...]
 
     def variants(self) -> list[str]:
-        from .patterns import ENZYME_SITES, iupac_variants
+        from .patterns import enzyme_table, iupac_variants
 
-        words = [ENZYME_SITES.get(c.removesuffix("_site"), c) for c in self.choices]
+        words = [enzyme_table().get(c.removesuffix("_site"), c) for c in self.choices]
         return sorted({v for w in words for v in iupac_variants(w)})
 
     def score(self, q: Column) -> Column:
@@ -562,7 +717,7 @@ class EnforceChoice(Spec):
         back = bool(self.place and self.place[2] == -1)
         return [(*self.span(s), tuple(sorted(revcomp(v) if back else v for v in self.variants())))]
 
-    def localized(self, start: int, end: int) -> Spec | None:
+    def localized(self, start: int, end: int, s: str | None = None) -> Spec | None:
         return self if self.place is None or (self.place[0] < end and start < self.place[1]) else None
 
 
@@ -584,6 +739,23 @@ class CodonSpec(Spec):
     def places(self, at: list[int], s: str) -> list[Place]:
         return self.upright([(3 * i, 3 * i + 3, 1) for i in at], s)
 
+    def localized(self, start: int, end: int, s: str | None = None) -> Spec | None:
+        """On the whole codons that the change touches."""
+        low, high, strand = self.place or (0, len(s) if s is not None else 1 << 60, 1)
+        if low >= end or start >= high:
+            return None
+        if s is None:
+            return self
+        a, b = max(low, start), min(high, end)
+        first, last = ((a - low) // 3, -(-(b - low) // 3)) if strand != -1 else ((high - b) // 3, -(-(high - a) // 3))
+        last = min(last, (high - low) // 3)
+        place = (low + 3 * first, low + 3 * last, strand) if strand != -1 else (high - 3 * last, high - 3 * first, strand)
+        return self.on_codons(place, first, last, s)
+
+    def on_codons(self, place: Place, first: int, last: int, s: str) -> Spec | None:
+        """The specification on the codons from first to last of its own, which lie at place."""
+        return replace(self, place=place)
+
     def where(self, q: Column, test: Callable[[Column, Column], Column]) -> Column:
         """The indices of codons for which the test holds."""
         return F.filter(F.transform(self.codons(q), lambda c, i: F.when(test(c, i), i)), lambda x: x.isNotNull())
@@ -591,13 +763,19 @@ class CodonSpec(Spec):
 
 @dataclass(frozen=True)
 class EnforceTranslation(CodonSpec):
-    """The region keeps its protein: one given, a column, or that of the sequence the search begins with."""
+    """The region keeps its protein: one given, a column, or that of the sequence the search begins with. code: the name of a
+    genetic code, or codons and amino acids in pairs."""
 
     protein: str | Column | None = None
     start_codon: str | None = None
+    code: str | tuple[tuple[str, str], ...] = "Standard"
+
+    @property
+    def table(self) -> dict[str, str]:
+        return dna.code_table(self.code)
 
     def amino(self, c: Column) -> Column:
-        return F.coalesce(F.element_at(dna.mapping(GENETIC_CODE), c), F.lit("X"))
+        return F.coalesce(F.element_at(dna.mapping(self.table), c), F.lit("X"))
 
     def wrong(self, q: Column) -> Column:
         want = dna.letters(self.protein if isinstance(self.protein, Column) else F.lit(self.protein))
@@ -619,13 +797,13 @@ class EnforceTranslation(CodonSpec):
         at = [i for i, (c, a) in enumerate(zip(words, self.protein, strict=True)) if c not in self.allowed(i, a)]
         return float(-len(at)), self.places(at, s)
 
-    def allowed(self, i: int, aa: str) -> list[str]:
+    def allowed(self, i: int, aa: str) -> tuple[str, ...]:
         if i == 0 and self.start_codon:
-            return list(dna.STARTS.get(self.start_codon) or (self.start_codon,))
-        return synonyms(aa)
+            return tuple(dna.STARTS.get(self.start_codon) or (self.start_codon,))
+        return _synonyms(aa, self.code)
 
     def bound(self, s: str) -> Spec:
-        return self if self.protein is not None else replace(self, protein="".join(GENETIC_CODE[c] for c in self.codon_list(s)))
+        return self if self.protein is not None else replace(self, protein="".join(self.table[c] for c in self.codon_list(s)))
 
     def enforced(self) -> bool:
         return True
@@ -634,20 +812,39 @@ class EnforceTranslation(CodonSpec):
         back = bool(self.place and self.place[2] == -1)
         return [(a, b, tuple(sorted(revcomp(c) if back else c for c in self.allowed(i, aa)))) for i, aa in enumerate(self.protein) for a, b, _ in self.places([i], s)]
 
+    def on_codons(self, place: Place, first: int, last: int, s: str) -> Spec | None:
+        if isinstance(self.protein, Column) or self.protein is None:
+            return self
+        return replace(self, place=place, protein=self.protein[first:last], start_codon=self.start_codon if first == 0 else None)
+
+    def parameters(self) -> str:
+        return "" if self.code == "Standard" else str(self.code) if isinstance(self.code, str) else "own code"
+
+    def breach_label(self) -> str:
+        return "protein sequence changed"
+
+
+@lru_cache(maxsize=4096)
+def _synonyms(aa: str, code) -> tuple[str, ...]:
+    return tuple(synonyms(aa, code))
+
 
 @dataclass(frozen=True)
 class AvoidStopCodons(CodonSpec):
+    code: str | tuple[tuple[str, str], ...] = "Standard"
+
     def score(self, q: Column) -> Column:
         return (-F.size(self._stops(q))).cast("double")
 
     def _stops(self, q: Column) -> Column:
-        return self.where(q, lambda c, i: c.isin(*synonyms("*")))
+        return self.where(q, lambda c, i: c.isin(*synonyms("*", self.code)))
 
     def locations(self, q: Column) -> Column:
         return self.codon_places(self._stops(q))
 
     def measure(self, s: str):
-        at = [i for i, c in enumerate(self.codon_list(s)) if GENETIC_CODE.get(c) == "*"]
+        stops = _synonyms("*", self.code)
+        at = [i for i, c in enumerate(self.codon_list(s)) if c in stops]
         return float(-len(at)), self.places(at, s)
 
 
@@ -659,6 +856,29 @@ def _one(fn: Callable) -> Callable[[Column], Column]:
     return lambda x: fn(x)
 
 
+@lru_cache(maxsize=64)
+def _usage_table(usage: tuple[tuple[str, float], ...]) -> Usage:
+    return dict(usage)
+
+
+@lru_cache(maxsize=64)
+def _adaptiveness(usage: tuple[tuple[str, float], ...]) -> Usage:
+    return relative_adaptiveness(dict(usage))
+
+
+@lru_cache(maxsize=64)
+def _excess(usage: tuple[tuple[str, float], ...], least: float) -> Usage:
+    table = dict(usage)
+    return {c: min(0.0, table.get(c, 0.0) - least) for c in GENETIC_CODE}
+
+
+@lru_cache(maxsize=64)
+def _log_adaptiveness(usage: tuple[tuple[str, float], ...]) -> Usage:
+    table = dict(usage)
+    floor = {c: table.get(c, 0.0) or 0.001 for c in GENETIC_CODE}
+    return {c: math.log(floor[c]) - math.log(max(floor[x] for x in synonyms(a))) for c, a in GENETIC_CODE.items()}
+
+
 def by_amino_acid(usage: Usage) -> dict[str, dict[str, float]]:
     out: dict[str, dict[str, float]] = defaultdict(dict)
     for c, a in GENETIC_CODE.items():
@@ -679,7 +899,7 @@ class CodonUsageSpec(CodonSpec):
 
     @property
     def table(self) -> Usage:
-        return dict(self.usage)
+        return _usage_table(self.usage)
 
     def lookup(self, values: Usage) -> Callable[[Column], Column]:
         table = dna.mapping({c: float(v) for c, v in values.items()})
@@ -695,7 +915,7 @@ class AvoidRareCodons(CodonUsageSpec):
     min_frequency: float = 0.1
 
     def excess(self) -> Usage:
-        return {c: min(0.0, self.table.get(c, 0.0) - self.min_frequency) for c in GENETIC_CODE}
+        return _excess(self.usage, self.min_frequency)
 
     def score(self, q: Column) -> Column:
         return self.summed(q, self.excess())
@@ -723,8 +943,7 @@ class MaximizeCAI(CodonUsageSpec):
     """Sum of the logarithms of the codons' relative adaptiveness; a frequency of 0 counts as 0.001."""
 
     def logs(self) -> Usage:
-        floor = {c: self.table.get(c, 0.0) or 0.001 for c in GENETIC_CODE}
-        return {c: math.log(floor[c]) - math.log(max(floor[x] for x in synonyms(a))) for c, a in GENETIC_CODE.items()}
+        return _log_adaptiveness(self.usage)
 
     def score(self, q: Column) -> Column:
         return self.summed(q, self.logs())
@@ -738,22 +957,30 @@ class MaximizeCAI(CodonUsageSpec):
         return float(sum(logs[c] for c in words)), self.places([i for i, c in enumerate(words) if logs[c] < 0], s)
 
 
+def _apart(counts: Column, shares: list[float]) -> Column:
+    """How far an amino acid's codon counts, an array, are from the shares of their sum."""
+    of = [F.get(counts, F.lit(i)) for i in range(len(shares))]
+    all_ = sum(of[1:], of[0])
+    return F.when(all_ > 0, sum((F.abs(n - all_ * f) for n, f in zip(of, shares, strict=True)), F.lit(0.0))).otherwise(0.0)
+
+
 @dataclass(frozen=True)
 class MatchTargetCodonUsage(CodonUsageSpec):
     """Minus the difference between the codons' shares in the sequence and in the table, weighted by amino acid counts."""
 
     def score(self, q: Column) -> Column:
-        """Counts of the codons and amino acids that are there, by array operations; no row leaves its partition."""
+        """Each codon becomes one letter; a letter's count is what a string loses without it, in the JVM's own string code."""
+        letter = {c: chr(48 + i) for i, c in enumerate(sorted(GENETIC_CODE))}
+        coded = F.array_join(F.transform(self.codons(q), lambda c: F.element_at(dna.mapping(letter), c)), "")
 
-        def distance(words: Column) -> Column:
+        def distance(text: Column) -> Column:
             total = F.lit(0.0)
-            count = lambda group: F.size(F.filter(words, lambda w: w.isin(*group))).cast("double")
             for group in by_amino_acid(self.table).values():
-                apart = lambda n, group=group: sum((F.abs(count([c]) - n * f) for c, f in group.items()), F.lit(0.0))
-                total = total + dna.let(count(list(group)), _one(lambda n, apart=apart: F.when(n > 0, apart(n)).otherwise(0.0)))
+                counts = F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(letter[c]), F.lit("")))).cast("double") for c in group])
+                total = total + dna.let(counts, _one(lambda n, group=group: _apart(n, list(group.values()))))
             return total
 
-        return -dna.let(self.codons(q), distance)
+        return -dna.let(coded, distance)
 
     def over(self, words: list[str]) -> set[str]:
         n = Counter(words)
@@ -774,6 +1001,29 @@ class MatchTargetCodonUsage(CodonUsageSpec):
         over = self.over(words)
         return -float(total), self.places([i for i, c in enumerate(words) if c in over], s)
 
+    def on_codons(self, place: Place, first: int, last: int, s: str) -> Spec | None:
+        words = self.codon_list(s)
+        return PartOfCodonUsage(self.usage, Counter(words[:first] + words[last:]), place=place, boost=self.boost)
+
+
+@dataclass(frozen=True)
+class PartOfCodonUsage(CodonUsageSpec):
+    """The whole region's codon usage, as far as a part changes it."""
+
+    outside: Counter = field(default_factory=Counter)
+
+    def measure(self, s: str):
+        n = self.outside + Counter(self.codon_list(s))
+        of: Counter = Counter()
+        for c, k in n.items():
+            of[GENETIC_CODE[c]] += k
+        return -float(sum(abs(n[c] - of[a] * f) for a, group in _groups(self.usage).items() if of[a] for c, f in group.items())), []
+
+
+@lru_cache(maxsize=64)
+def _groups(usage: tuple[tuple[str, float], ...]) -> dict[str, dict[str, float]]:
+    return by_amino_acid(dict(usage))
+
 
 @dataclass(frozen=True)
 class HarmonizeRCA(CodonUsageSpec):
@@ -789,9 +1039,7 @@ class HarmonizeRCA(CodonUsageSpec):
         return -F.aggregate(apart, F.lit(0.0), lambda t, x: t + x)
 
     def nearest(self) -> Usage:
-        """For each original codon, the least difference that some synonym of it has here."""
-        here, there = relative_adaptiveness(self.table), relative_adaptiveness(dict(self.original_usage))
-        return {c: min(abs(there[c] - here[x]) for x in synonyms(a)) for c, a in GENETIC_CODE.items()}
+        return _nearest(self.usage, self.original_usage)
 
     def locations(self, q: Column) -> Column:
         here, there, least = self.lookup(relative_adaptiveness(self.table)), self.lookup(relative_adaptiveness(dict(self.original_usage))), self.lookup(self.nearest())
@@ -803,12 +1051,17 @@ class HarmonizeRCA(CodonUsageSpec):
         return self if self.original is not None else replace(self, original=s)
 
     def measure(self, s: str):
-        here, there = relative_adaptiveness(self.table), relative_adaptiveness(dict(self.original_usage))
-        pairs = list(zip(self.codon_list(s), self.codon_list(self.original), strict=True))
-        apart = [abs(there[b] - here[a]) for a, b in pairs]
-        nearest = self.nearest()
-        least = [nearest[b] for _, b in pairs]
-        return -float(sum(apart)), self.places([i for i, (x, y) in enumerate(zip(apart, least, strict=True)) if x > y], s)
+        here, there = _adaptiveness(self.usage), _adaptiveness(self.original_usage)
+        apart = [(abs(there[b] - here[a]), b) for a, b in zip(self.codon_list(s), self.codon_list(self.original), strict=True)]
+        nearest = _nearest(self.usage, self.original_usage)
+        return -float(sum(x for x, _ in apart)), self.places([i for i, (x, b) in enumerate(apart) if x > nearest[b]], s)
+
+
+@lru_cache(maxsize=64)
+def _nearest(usage: tuple[tuple[str, float], ...], original_usage: tuple[tuple[str, float], ...]) -> Usage:
+    """For each original codon, the least difference that some synonym of it has here."""
+    here, there = _adaptiveness(usage), _adaptiveness(original_usage)
+    return {c: min(abs(there[c] - here[x]) for x in synonyms(a)) for c, a in GENETIC_CODE.items()}
 
 
 def CodonOptimize(usage: Usage, method: str = "use_best_codon", original_usage: Usage | None = None, **more) -> Spec:
@@ -874,6 +1127,17 @@ class EnforceMeltingTemperature(Spec):
         return self.best - abs(melting(self.text(s)) - self.aim), [(*self.span(s), 0)]
 
 
+def _measured(spec: Spec):
+    """A specification's measure as an Arrow function."""
+    measure = spec.measure
+
+    @F.arrow_udf("double")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else measure(x)[0] for x in column.to_pylist()], pa.float64())
+
+    return run
+
+
 def longest_duplex(a: str, b: str) -> float:
     """The highest melting temperature of a run in which a pairs with b, over all shifts without gaps."""
     c, best = revcomp(b), 0.0
@@ -902,14 +1166,8 @@ class AvoidHeterodimerization(Spec):
         return self.tmax - max(t) - 0.001 * sum(t) / len(t), [(*self.span(s), 0)]
 
     def score(self, q: Column) -> Column:
-        """The runs that words of the others and their parts give have no built-in form; batches go through Arrow."""
-        measure = self.measure
-
-        @F.pandas_udf("double")
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: None if x is None else measure(x)[0])
-
-        return run(q)
+        """The strongest run of each has no built-in form; batches go through Arrow."""
+        return _measured(self)(q)
 
 
 @dataclass(frozen=True)
@@ -938,9 +1196,12 @@ class AvoidMatches(Spec):
     mismatches: int = 0
     priority = -2
 
-    def subject_words(self) -> set[str]:
-        k = self.match_length
-        return {w for s in self.subjects for t in (s, revcomp(s)) for w in (t[i : i + k] for i in range(len(t) - k + 1))}
+    @property
+    def reach(self):
+        return self.match_length - 1
+
+    def subject_words(self) -> frozenset[str]:
+        return _both_strand_words(self.subjects, self.match_length)
 
     def measure(self, s: str):
         t, k, known = self.text(s), self.match_length, self.subject_words()
@@ -954,11 +1215,66 @@ class AvoidMatches(Spec):
         return -total, self.upright(at, s)
 
     def score(self, q: Column) -> Column:
-        words = F.array(*map(F.lit, sorted(self.subject_words())))
+        """The subjects' words go with the function, not into the plan."""
+        if self.mismatches:
+            return _measured(self)(q)
+        return kernels.match_score(self.region(q), self.match_length, frozenset(w.encode() for w in self.subject_words()))
+
+    def locations(self, q: Column) -> Column:
         if self.mismatches:
-            apart = lambda w: F.array_min(F.transform(words, lambda x: dna.n_differences(w, x)))
-            return -F.aggregate(dna.kmers(self.region(q), self.match_length), F.lit(0.0), lambda a, w: a + F.when(apart(w) <= self.mismatches, 1 / (1 + apart(w))).otherwise(0.0))
-        return (-F.size(F.filter(dna.kmers(self.region(q), self.match_length), lambda w: F.array_contains(words, w)))).cast("double")
+            return super().locations(q)
+        return self.upright_column(kernels.match_places(self.region(q), self.match_length, frozenset(w.encode() for w in self.subject_words())))
+
+
+@lru_cache(maxsize=64)
+def _both_strand_words(subjects: tuple[str, ...], k: int) -> frozenset[str]:
+    return frozenset(w for s in subjects for t in (s, revcomp(s)) for w in (t[i : i + k] for i in range(len(t) - k + 1)))
+
+
+@dataclass(frozen=True)
+class AvoidBlastMatches(Spec):
+    """No ungapped segment of min_align_length bases or more is equal to one of the subjects', on either strand. The score is
+    minus the bases in such segments, or 1 without any. The model is that of an ungapped search for identical segments,
+    without statistics: word_size below min_align_length finds the same ones. For tables of subjects see homology."""
+
+    subjects: tuple[str, ...] = ()
+    min_align_length: int = 20
+    word_size: int = 4
+    perc_identity: float = 100
+    best = 1.0
+    priority = -2
+
+    def segments(self, t: str) -> list[tuple[int, int]]:
+        if self.perc_identity != 100:
+            raise ValueError("only identical segments are searched")
+        k, open_, out = self.min_align_length, {}, []
+        known = _placed_words(self.subjects, k)
+        for i in range(len(t) - k + 1):
+            now = {}
+            for which, j in known.get(t[i : i + k], ()):
+                now[which, i - j] = open_.pop((which, i - j), i)
+            out += [(first, i + k - 1) for first in open_.values()]
+            open_ = now
+        return sorted(out + [(first, len(t)) for first in open_.values()])
+
+    def measure(self, s: str):
+        found = self.segments(self.text(s))
+        return float(-sum(b - a for a, b in found)) if found else 1.0, self.upright([(a, b, 0) for a, b in found], s)
+
+    def score(self, q: Column) -> Column:
+        return _measured(self)(q)
+
+    def breach_label(self) -> str:
+        return f"matches of {self.min_align_length}bp or more"
+
+
+@lru_cache(maxsize=16)
+def _placed_words(subjects: tuple[str, ...], k: int) -> dict[str, list[tuple[int, int]]]:
+    out: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for n, t in enumerate(x for s in subjects for x in (s, revcomp(s))):
+        for j in range(len(t) - k + 1):
+            out[t[j : j + k]].append((n, j))
+    return dict(out)
 
 
 @dataclass(frozen=True)
@@ -998,6 +1314,9 @@ class CustomSpec(Spec):
 
     evaluate: Callable[[str], object] = lambda s: 0.0
     name: str = "Custom"
+    #: Own ways to work at it: functions of the specification and the problem, whose sequence they may set; whether they did.
+    resolver: Callable[[Spec, object], bool] | None = None
+    optimizer: Callable[[Spec, object], bool] | None = None
 
     def measure(self, s: str):
         out = self.evaluate(self.text(s))
@@ -1005,13 +1324,13 @@ class CustomSpec(Spec):
         return float(score), self.upright(list(at), s)
 
     def score(self, q: Column) -> Column:
-        measure = self.measure
+        return _measured(self)(q)
 
-        @F.pandas_udf("double")
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: None if x is None else measure(x)[0])
+    def resolve_in(self, problem) -> bool:
+        return bool(self.resolver and self.resolver(self, problem))
 
-        return run(q)
+    def optimize_in(self, problem) -> bool:
+        return bool(self.optimizer and self.optimizer(self, problem))
 
     @property
     def kind(self) -> str:
@@ -1029,7 +1348,7 @@ REGISTRY: dict[str, Callable] = {
     "AvoidRareCodons": AvoidRareCodons, "no_rare_codons": AvoidRareCodons, "MaximizeCAI": MaximizeCAI, "use_best_codon": MaximizeCAI,
     "MatchTargetCodonUsage": MatchTargetCodonUsage, "match_codon_usage": MatchTargetCodonUsage, "HarmonizeRCA": HarmonizeRCA, "harmonize_rca": HarmonizeRCA,
     "CodonOptimize": CodonOptimize, "optimize": CodonOptimize, "EnforceMeltingTemperature": EnforceMeltingTemperature, "tm": EnforceMeltingTemperature,
-    "AvoidHeterodimerization": AvoidHeterodimerization, "AvoidMatches": AvoidMatches, "no_match": AvoidMatches, "SequenceLengthBounds": SequenceLengthBounds, "length": SequenceLengthBounds,
+    "AvoidHeterodimerization": AvoidHeterodimerization, "AvoidMatches": AvoidMatches, "no_match": AvoidMatches, "AvoidBlastMatches": AvoidBlastMatches, "no_blast": AvoidBlastMatches, "SequenceLengthBounds": SequenceLengthBounds, "length": SequenceLengthBounds,
     "AllowPrimer": AllowPrimer, "primer": AllowPrimer,
 }
 
