@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.dna import location_text
+from ..functions.dna import location_text, score_text
 from .intervals import merged
-from .specs import Spec
+from .specs import AvoidHairpins, AvoidPattern, EnforceGCContent, Spec
 
 
 def scores(sequences: DataFrame, specs: dict[str, Spec], q: str = "q") -> DataFrame:
@@ -24,6 +25,16 @@ def evaluations(sequences: DataFrame, specs: dict[str, Spec], role: str = "const
     return out.select("seq_id", "spec", F.lit(role).alias("role"), "score", (F.col("score") >= 0).alias("passes"), (F.col("score") == F.col("best")).alias("is_optimal"), "boost", "priority", "locations")
 
 
+def enforced(specs: dict[str, Spec]) -> list[str]:
+    """The specifications that the choice of bases makes pass: they needn't be evaluated in a search."""
+    return [n for n, s in specs.items() if s.enforced()]
+
+
+def subset(specs: dict[str, Spec], keep: Callable[[Spec], bool] | None = None, skip_enforced: bool = True) -> dict[str, Spec]:
+    """The specifications that a filter keeps, without those that the choice of bases enforces."""
+    return {n: s for n, s in specs.items() if (keep is None or keep(s)) and not (skip_enforced and s.enforced())}
+
+
 def passing(evaluated: DataFrame) -> DataFrame:
     return evaluated.where("passes")
 
@@ -56,6 +67,20 @@ def summary(evaluated: DataFrame) -> DataFrame:
     return evaluated.groupBy("seq_id").agg(F.bool_and("passes").alias("all_pass"), F.sum(F.when(~F.col("passes"), F.col("score")).otherwise(0.0)).alias("failing_sum"), F.sum(F.col("boost") * F.col("score")).alias("total"))
 
 
+def messages(evaluated: DataFrame) -> DataFrame:
+    """evaluated with a message: passed, or failed with the score and the places."""
+    places = F.array_join(F.transform("locations", lambda x: location_text(x["start"], x["end"], x["strand"])), ", ")
+    failed = F.concat(F.lit("Failed with score "), score_text(F.col("score"), 0), F.when(F.size("locations") > 0, F.concat(F.lit(": breaches at "), places)).otherwise(""))
+    return evaluated.withColumn("message", F.when(F.col("passes"), F.concat(F.col("spec"), F.lit(" passed"))).otherwise(F.concat(F.col("spec"), F.lit(". "), failed)))
+
+
+def next_overlaps(evaluated: DataFrame) -> DataFrame:
+    """A row for each place, with whether the next place of the same sequence and specification overlaps it."""
+    rows = evaluated.select("seq_id", "spec", F.explode("locations").alias("x")).select("seq_id", "spec", "x.*")
+    order = Window.partitionBy("seq_id", "spec").orderBy("start", "end", "strand")
+    return rows.withColumn("next_overlaps", F.coalesce(F.lead("start").over(order) < F.col("end"), F.lit(False)))
+
+
 def breach_text(s: Spec, q: Column) -> Column:
     """The merged places that break the specification, as text; empty where it passes or has no places."""
     places = F.transform(merged(s.locations(q)), lambda x: location_text(x["start"], x["end"], x["strand"]))
@@ -67,6 +92,40 @@ def breaches(sequences: DataFrame, specs: dict[str, Spec], q: str = "q") -> Data
     return sequences.select("seq_id", *[breach_text(s, F.col(q)).alias(n) for n, s in specs.items()])
 
 
+def with_breaches(sequences: DataFrame, specs: dict[str, Spec], q: str = "q", colors: Sequence[str] = ("#bf3f3f", "#3f7fbf", "#5fbf7f", "#bf9f3f", "#7f5fbf")) -> DataFrame:
+    """The sequences as records (seq_id, q, features): a feature for each merged place of a breach, named by what the breach
+    is and coloured by specification. Within the row: no shuffle."""
+    from .records import FEATURES, feature
+
+    parts = []
+    for i, (name, s) in enumerate(specs.items()):
+        places = F.when(s.score(F.col(q)) < 0, merged(s.locations(F.col(q))))
+        shown = lambda x, s=s, i=i, name=name: feature(x["start"], x["end"], F.when(x["strand"] == -1, -1).otherwise(1), label=s.breach_label(), specification=name, color=colors[i % len(colors)], is_a_breach="true")
+        parts.append(F.coalesce(F.transform(places, _one(shown)), F.array()).cast(FEATURES))
+    return sequences.select("seq_id", F.col(q).alias("q"), F.concat(*parts).alias("features"))
+
+
+def _one(fn: Callable) -> Callable[[Column], Column]:
+    """fn with one argument only, as array functions tell their arguments by number."""
+    return lambda x: fn(x)
+
+
+def sequences_from(spark: SparkSession, given: Mapping[str, str] | Iterable[tuple[str, str]] | DataFrame, name: str = "name", q: str = "q") -> DataFrame:
+    """seq_id and q, from a dict, pairs of names and sequences, or a table of records."""
+    if isinstance(given, DataFrame):
+        return given.select(F.col(name).alias("seq_id"), F.upper(F.col(q)).alias("q"))
+    pairs = list(given.items() if isinstance(given, Mapping) else given)
+    return spark.createDataFrame([(str(n), s.upper()) for n, s in pairs], "seq_id string, q string")
+
+
+def manufacturing_rules() -> dict[str, Spec]:
+    """What makers of DNA commonly ask for: no sites of cutting enzymes, no long runs, no short repeats, no hairpins, and a
+    balanced share of G and C."""
+    patterns = [*(f"{e}_site" for e in ("BsaI", "BsmBI", "BbsI", "SapI")), "9xA", "9xT", "6xG", "6xC", "5x3mer", "9x2mer"]
+    rules: dict[str, Spec] = {f"no_{p.lower()}": AvoidPattern(p) for p in patterns}
+    return rules | {"no_hairpin": AvoidHairpins(20, 200), "gc_window": EnforceGCContent(0.3, 0.7, window=100)}
+
+
 def circular(q: Column, reach: int) -> Column:
     """A circular sequence as a linear one: with its first bases again at its end, as far as a place reaches."""
     return F.concat(q, F.substring(q, 1, max(0, reach - 1)))

@@ -1,6 +1,7 @@
 """Sequence files: FASTA, a subset of GenBank, position matrices, and delimited tables.
 
-Files are read by Spark, so any store and any number of files will do: FASTA by splitting at `>`, also within files;
+Files are read by Spark, so any store and any number of files will do: FASTA by splitting at lines that begin with `>`, also
+within files;
 GenBank and motif files whole, one row each, and parsed in Arrow batches.
 """
 
@@ -18,7 +19,8 @@ RECORD = f"name string, q string, circular boolean, features {FEATURES}"
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """name, description and q of each entry."""
-    rows = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    # a file's first entry still has its mark
+    rows = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.regexp_replace("value", r"\s", "") != "")
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
     return rows.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), F.upper(body).alias("q"))

@@ -84,7 +84,12 @@ def build(label: Label, place: S.Place | None = None, registry: Mapping[str, Cal
     if maker is S.EnforceSequence and any(isinstance(x, tuple) for x in (*rest, *keywords.values())):
         raise ValueError("alternatives need @choice")
     if maker is S.UniquifyAllKmers:
-        rest = [x for x in rest if x != "here"]
+        if len(rest) > 1 and isinstance(rest[1], str):
+            keywords["reference"] = rest.pop(1)
+        if isinstance(wide := keywords.get("reference"), str) and wide not in ("here", "same"):
+            keywords["reference"] = parsing.location(wide)
+        if "include_reverse_complement" in keywords:
+            keywords["both_strands"] = str(keywords.pop("include_reverse_complement")).lower() not in ("0", "false", "no")
     if maker is S.AllowPrimer:
         return S.AllowPrimer(place, *rest, **keywords)
     if maker is S.CodonOptimize or (isinstance(maker, type) and issubclass(maker, S.CodonUsageSpec)):
@@ -117,8 +122,39 @@ def from_features(features: list[dict], registry: Mapping[str, Callable] | None
     return out["constraint"], out["objective"]
 
 
-def to_feature(spec: S.Spec, role: str = "constraint", colors: Mapping[str, str] | None = None) -> dict:
-    """A feature that shows the specification, coloured by its role."""
-    start, end, strand = spec.place or (0, 0, 0)
-    color = (colors or {"constraint": "#469eff", "objective": "#9efc99"})[role]
-    return {"type": "misc_feature", "start": start, "end": end, "strand": strand, "qualifiers": {"label": [("@" if role == "constraint" else "~") + spec.label()], "color": [color]}}
+#: Own colours by role.
+COLORS = {"constraint": "#3f7fbf", "objective": "#5fbf7f", "edit": "#bf5f3f"}
+
+
+def to_feature(spec: S.Spec, role: str = "constraint", colors: Mapping[str, str] | None = None, short: bool = False, length: int | None = None, **qualifiers: str) -> dict:
+    """A feature that shows the specification, coloured by its role, with a long or short label; without a place of its own
+    it covers a sequence of the given length."""
+    start, end, strand = spec.place or (0, length or 0, 0)
+    label = spec.short_label() if short else spec.label()
+    shown = {"label": [("@" if role == "constraint" else "~") + label], "color": [(colors or COLORS)[role]]}
+    return {"type": "misc_feature", "start": start, "end": end, "strand": strand, "qualifiers": shown | {k: [v] for k, v in qualifiers.items()}}
+
+
+def problem_features(constraints: list[S.Spec], objectives: list[S.Spec], before: str, after: str, short: bool = False) -> list[dict]:
+    """A problem as features of its record: constraints, objectives, and the edits from before to after."""
+    out = [to_feature(s, role, short=short, length=len(after)) for role, specs in (("constraint", constraints), ("objective", objectives)) for s in specs]
+    i = 0
+    while len(before) == len(after) and i < len(after):
+        j = i
+        while j < len(after) and before[j] != after[j]:
+            j += 1
+        if j > i:
+            out.append({"type": "misc_feature", "start": i, "end": j, "strand": 0, "qualifiers": {"label": [f"{before[i:j]}=>{after[i:j]}"], "color": [COLORS["edit"]], "is_edit": ["true"]}})
+        i = j + 1
+    return out
+
+
+def usage_tables(rows, most: int = 100_000) -> dict[str, dict[str, float]]:
+    """species to codon shares, from a table (species, codon, share) of `most` rows at most."""
+    out: dict[str, dict[str, float]] = {}
+    got = rows.select("species", "codon", "share").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows of codon usage")
+    for r in got:
+        out.setdefault(r["species"], {})[r["codon"].upper().replace("U", "T")] = float(r["share"])
+    return out

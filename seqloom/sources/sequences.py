@@ -21,9 +21,15 @@ def digest_dna(key: Column, salts: str) -> Column:
     return F.translate(F.concat(*[F.md5(F.concat(F.lit(s), key.cast("string")).cast("binary")) for s in salts]), HEX, HEX_BASES)
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Narrow rows over as many tasks as a shuffle has, ahead of work that needs many; a small table is one task's otherwise."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def digest_sequences(spark: SparkSession, sf_dir: str, salts: str = "ab", source: str = "orders", key: str = "o_orderkey") -> DataFrame:
-    """seq_id and q of each row of a table."""
-    return table(spark, sf_dir, source).select(F.col(key).alias("seq_id"), digest_dna(F.col(key), salts).alias("q"))
+    """seq_id and q of each row of a table. The ids are dealt out before the sequences are made."""
+    keys = dealt(table(spark, sf_dir, source).select(F.col(key).alias("seq_id")), "seq_id")
+    return keys.select("seq_id", digest_dna(F.col("seq_id"), salts).alias("q"))
 
 
 def text_dna(text: Column) -> Column:
