@@ -22,7 +22,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import codon_queries, interval_queries, pattern_queries, record_queries, score_queries  # noqa: F401
+    from . import codon_queries, file_queries, interval_queries, pattern_queries, record_queries, report_queries, score_queries, search_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -23,7 +23,7 @@ from ..operators.specs import (
     ALL_STACKS,
     TERMINAL,
 )
-from ..sources.sequences import digest_dna, digest_sequences, document_sequences, table
+from ..sources.sequences import dealt, digest_dna, digest_sequences, document_sequences, table
 from . import sql
 from .common import r6
 from .registry import query
@@ -110,7 +110,8 @@ d AS (SELECT seq_id, i, a, b, a <> b AS differs FROM letters)"""
 
 def pairs(spark, sf_dir):
     """seq_id, q and the edited sequence `edited`."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq_id"), *[digest_dna(F.col("o_orderkey"), s).alias(n) for s, n in (("ab", "q"), ("cd", "_s"), ("ef", "_t"))])
+    keys = dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq_id")), "seq_id")
+    rows = keys.select("seq_id", *[digest_dna(F.col("seq_id"), s).alias(n) for s, n in (("ab", "q"), ("cd", "_s"), ("ef", "_t"))])
     third = F.zip_with(dna.letters(F.col("_s")), dna.letters(F.col("_t")), lambda s, t: F.when(s == t, s))
     return rows.select("seq_id", "q", F.array_join(F.zip_with(dna.letters(F.col("q")), third, lambda a, b: F.coalesce(b, a)), "").alias("edited"))
 
@@ -221,23 +222,6 @@ def constraint_summary(spark, sf_dir):
     return s.select("seq_id", "all_pass", r6(F.col("failing_sum")).alias("failing_sum"), r6(F.col("total")).alias("total"))
 
 
-_PLACES = f"""{sql.seqs()}, {sql.kmers(6, name='w6')}, {sql.kmers(5, name='w5')},
-l1 AS (SELECT seq_id, i AS a, i + 6 AS b, CASE WHEN w = 'CGTCTC' THEN '(+)' ELSE '(-)' END AS t FROM w6 WHERE w IN ('CGTCTC', 'GAGACG')),
-l2 AS (SELECT seq_id, i AS a, i + 5 AS b, CASE WHEN w = 'AAAAA' THEN '(+)' ELSE '(-)' END AS t FROM w5 WHERE w IN ('AAAAA', 'TTTTT')),
-l AS (SELECT 'no_bsmbi' AS spec, * FROM l1 UNION ALL SELECT 'no_poly_a' AS spec, * FROM l2),
-f AS (SELECT *, CASE WHEN a < max(b) OVER (PARTITION BY spec, seq_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM l),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY spec, seq_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM f),
-m AS (SELECT spec, seq_id, min(a) AS a, max(b) AS b, arg_min(t, a) AS t FROM g GROUP BY spec, seq_id, k),
-c AS (SELECT spec, seq_id, string_agg(a || '-' || b || t, ', ' ORDER BY a) AS txt FROM m GROUP BY spec, seq_id)"""
-
-
-@query(f"""WITH {_PLACES} SELECT s.seq_id, coalesce(x.txt, '') AS no_bsmbi, coalesce(y.txt, '') AS no_poly_a FROM seqs AS s
-LEFT JOIN c AS x ON x.seq_id = s.seq_id AND x.spec = 'no_bsmbi' LEFT JOIN c AS y ON y.seq_id = s.seq_id AND y.spec = 'no_poly_a'""")
-def breach_report(spark, sf_dir):
-    """The merged places of breaches as text: a row for each sequence, a column for each rule."""
-    return batch.breaches(digest_sequences(spark, sf_dir), {n: RULES[n] for n in ("no_bsmbi", "no_poly_a")})
-
-
 @query(f"""WITH {sql.seqs()}, c AS (SELECT seq_id, q || left(q, 5) AS q FROM seqs), {sql.kmers(6, 'c')}
 SELECT seq_id, count(*) FILTER (WHERE w = 'GAATTC')::BIGINT AS sites FROM words GROUP BY seq_id""")
 def circular_sites(spark, sf_dir):
