@@ -46,7 +46,7 @@ def solved_records(records: DataFrame, circular: bool = False, seed: int = 0, us
                     rows.append(solve_one(r["q"], constraints, objectives, SETTINGS, f"{seed}/{r['name']}", circular or bool(r["circular"])))
                     shown[-1] = labels.problem_features(constraints, objectives, r["q"], rows[-1][0])
                 except (TypeError, ValueError) as e:
-                    rows.append((r["q"], "invalid", str(e), None, None, False))
+                    rows.append((r["q"], "invalid", str(e), None, None, False, None))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
             for k, (name, values) in enumerate((("name", list(pdf["name"])), ("circular", list(pdf["circular"])), ("features", given), ("problem", shown), ("before", list(pdf["q"])))):
                 out.insert(k, name, values)

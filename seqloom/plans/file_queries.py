@@ -164,3 +164,45 @@ def indexed_matches(spark, sf_dir):
     return homology.exact_matches_in(suppliers(spark, sf_dir), name, 6).select("seq_id", F.col("at").cast("long").alias("at"))
 
 
+
+
+@query("SELECT 'N' || n_nationkey AS motif, p::BIGINT AS pos, b AS base, ((n_nationkey + 3 * p + strpos('ACGT', b)) % 7)::DOUBLE AS n FROM nation, (SELECT unnest(generate_series(0, 3)) AS p), (SELECT unnest(['A', 'C', 'G', 'T']) AS b)")
+def motif_files(spark, sf_dir):
+    """Position matrices written as text and read back."""
+    at, key = folder(spark, "motifs"), F.col("n_nationkey")
+    number = lambda b, p: ((key + 3 * p + "ACGT".index(b) + 1) % 7).cast("string")
+    lines = [F.concat(F.lit(f"{b} [ "), F.concat_ws(" ", *[number(b, p) for p in range(4)]), F.lit(" ]")) for b in "ACGT"]
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat_ws("\n", F.concat(F.lit(">N"), key.cast("string"), F.lit(" x")), *lines).alias("value")).write.text(at)
+    return files.read_motifs(spark, at).select("motif", F.col("pos").cast("long").alias("pos"), "base", F.col("count").alias("n"))
+
+
+_PRIMERS = ("ACGTTGCATG", "GGCCATTA", "TTGACCGT")
+
+
+def _duplex_sql() -> str:
+    from ..operators.specs import ALL_STACKS, DNA_MOLAR, SALT_MOLAR, TERMINAL
+
+    stacks = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in ALL_STACKS.items())
+    ends = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in TERMINAL.items())
+    others = ", ".join(f"({k}, '{dna.revcomp(p)}')" for k, p in enumerate(_PRIMERS))
+    return f"""WITH {sql.seqs('a', 'seqs', 'supplier', 's_suppkey')}, o(k, r) AS (VALUES {others}), st(w, h, s) AS (VALUES {stacks}), en(b, h, s) AS (VALUES {ends}),
+c AS (SELECT seq_id, i, substr(q, i::INT + 1, 2) AS w FROM (SELECT seq_id, q, unnest(generate_series(0, 30)) AS i FROM seqs)), x AS (SELECT k, j, substr(r, j::INT + 1, 2) AS w FROM (SELECT k, r, unnest(generate_series(0, length(r) - 2)) AS j FROM o)),
+m AS (SELECT seq_id, k, i, i - j AS d, c.w AS w FROM c JOIN x ON c.w = x.w), r AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, k, d ORDER BY i) AS run FROM m),
+t AS (SELECT seq_id, k, sum(st.h) AS h, sum(st.s) AS s, count(*) AS n, arg_min(left(r.w, 1), i) AS a, arg_max(right(r.w, 1), i) AS b FROM r JOIN st ON st.w = r.w GROUP BY seq_id, k, d, run),
+u AS (SELECT seq_id, k, greatest(0.0::DOUBLE, max(1000 * (t.h + e.h + f.h) / (t.s + e.s + f.s + 0.368 * n * ln({SALT_MOLAR}::DOUBLE) + 1.987 * ln({DNA_MOLAR}::DOUBLE / 4)) - 273.15)) AS t FROM t JOIN en AS e ON e.b = t.a JOIN en AS f ON f.b = t.b GROUP BY seq_id, k)
+SELECT s.seq_id, {sql.r6(f'5.0 - coalesce(max(t), 0) - 0.001 * coalesce(sum(t), 0) / {len(_PRIMERS)}')} AS score FROM seqs AS s LEFT JOIN u ON u.seq_id = s.seq_id GROUP BY s.seq_id"""
+
+
+@query(_duplex_sql())
+def heterodimer_table_scores(spark, sf_dir):
+    """How strongly candidates pair with a table of primers, by a join on pairs of bases."""
+    others = spark.createDataFrame(list(enumerate(_PRIMERS)), "seq_id long, q string")
+    return homology.heterodimer_scores(suppliers(spark, sf_dir, "a"), others).select("seq_id", r6(F.col("score")).alias("score"))
+
+
+@query(_duplex_sql())
+def heterodimer_specification(spark, sf_dir):
+    """The same as a specification, of primers that are parameters."""
+    from ..operators.specs import AvoidHeterodimerization
+
+    return suppliers(spark, sf_dir, "a").select("seq_id", r6(AvoidHeterodimerization(_PRIMERS, 5.0).score(F.col("q"))).alias("score"))

@@ -135,3 +135,43 @@ def random_compatible(spark, sf_dir):
     made = spark.createDataFrame([(k, solver.random_compatible(90, rules, seed=k)) for k in range(20)], "seed long, q string")
     passing = rules[0].passes(F.col("q")) & rules[1].passes(F.col("q")) & rules[2].passes(F.col("q"))
     return made.agg(F.count("*").alias("n"), F.bool_and(F.length("q") == 90).alias("lengths"), F.bool_and(passing).alias("passing"), F.count_distinct("q").alias("different"))
+
+
+_RANKED = ", ".join(f"('{c}', '{v}', {k})" for c, a in dna.GENETIC_CODE.items() for k, v in enumerate(dna.synonyms(a)))
+
+
+@query(f"""WITH {SUPPLIERS}, y(c, s, k) AS (VALUES {_RANKED}), h AS (SELECT seq_id, q, c, k AS here FROM seqs JOIN y ON c = substr(q, 7, 3) AND s = c),
+v AS (SELECT seq_id, q, s, row_number() OVER (PARTITION BY seq_id ORDER BY abs(k - here), s) - 1 AS n FROM h JOIN y USING (c) QUALIFY count(*) OVER (PARTITION BY seq_id) > 1)
+SELECT seq_id, n::BIGINT AS ordinal, left(q, 6) || s || substr(q, 10, 55) AS variant FROM v""")
+def variant_order(spark, sf_dir):
+    """The variants of one codon, in the order in which a search tries them: nearest in rank first."""
+    rows = space.variants_table(suppliers(spark, sf_dir), [EnforceTranslation(place=(0, 60, 1))], (6, 9), drawn=0)
+    return rows.where("variant <> q OR ordinal = 0").join(rows.groupBy("seq_id").count().where("count > 1").select("seq_id"), "seq_id").select("seq_id", "ordinal", "variant")
+
+
+@query(f"WITH {SUPPLIERS}, p AS (SELECT unnest(generate_series(0, 58)) AS i), r AS (SELECT i, row_number() OVER (ORDER BY abs(i - 29), i) - 1 AS n FROM p) SELECT seq_id, n::BIGINT AS n, left(q, i::INT) || 'GAATTC' || substr(q, i::INT + 7, 64) AS q FROM seqs, r")
+def insertion_order(spark, sf_dir):
+    """Where a site is put in, in the order of tries: from the centre out."""
+    import pandas as pd
+
+    spec = EnforcePatternOccurence("EcoRI_site", strand=1)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(k, n, x) for k, s in zip(pdf["seq_id"], pdf["q"], strict=True) for n, x in enumerate(spec.insertions(s))], columns=["seq_id", "n", "q"])
+
+    return suppliers(spark, sf_dir).mapInPandas(run, "seq_id long, n long, q string")
+
+
+@query(f"WITH {SUPPLIERS}, v AS (SELECT seq_id, q, unnest(['A', 'C', 'G', 'T']) AS b FROM seqs), t AS (SELECT seq_id, q, left(q, 20) || b || substr(q, 22, 43) AS v FROM v), g AS (SELECT seq_id, bool_or(strpos(substr(v, 19, 5), 'ACG') = 0) AS can FROM t GROUP BY seq_id) SELECT seq_id, CASE WHEN can THEN 'solved' ELSE 'no solution' END AS status, can AS all_pass FROM g")
+def exhaustive_constraints(spark, sf_dir):
+    """One base may change: a search by all variants finds a solution where there is one, and says where there is none."""
+    rules = [AvoidChanges(place=(0, 20, 0)), AvoidChanges(place=(21, 64, 0)), AvoidPattern("ACG", strand=1, place=(18, 23, 1))]
+    return solver.solve(suppliers(spark, sf_dir), rules).select("seq_id", "status", "all_pass")
+
+
+@query(f"WITH {SUPPLIERS} SELECT seq_id, {sql.r6('-(greatest(0.0::DOUBLE, 0.9 - ' + sql.gc('q') + '))')} AS failing_before, 'solved' AS status, true AS better FROM seqs")
+def random_search(spark, sf_dir):
+    """Spaces too large for all variants: random steps raise the share of G and C to a limit; the state before is kept."""
+    found = solver.solve(suppliers(spark, sf_dir), [EnforceGCContent(mini=0.9)])
+    return found.select("seq_id", r6(F.col("failing_before")).alias("failing_before"), "status", (dna.gc_fraction(F.col("q")) >= 0.9).alias("better"))

@@ -1,5 +1,7 @@
 """Sequence files: FASTA, a subset of GenBank, position matrices, and delimited tables.
 
+Sequence files of SnapGene are read too: a packet of bases and one of features in XML.
+
 Files are read by Spark, so any store and any number of files will do: FASTA by splitting at lines that begin with `>`, also
 within files;
 GenBank and motif files whole, one row each, and parsed in Arrow batches.
@@ -8,6 +10,7 @@ GenBank and motif files whole, one row each, and parsed in Arrow batches.
 from __future__ import annotations
 
 import re
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,14 +120,50 @@ def write_genbank(records: DataFrame, path: str) -> None:
     records.mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
+def parse_snapgene(data: bytes, name: str) -> tuple:
+    """name, sequence, circular and features of a file: packets of a type, a length and so many bytes."""
+    at, q, circular, features = 0, "", False, []
+    while at + 5 <= len(data):
+        kind, n = data[at], int.from_bytes(data[at + 1 : at + 5], "big")
+        body = data[at + 5 : at + 5 + n]
+        if at == 0 and (kind != 9 or body[:8] != b"SnapGene"):
+            raise ValueError(f"{name} is no SnapGene file")
+        if kind == 0 and n:
+            circular, q = bool(body[0] & 1), body[1:].decode("ascii").upper()
+        elif kind == 10:
+            for f in ElementTree.fromstring(body.decode("utf-8")).iter("Feature"):
+                ranges = [tuple(map(int, s.get("range").split("-"))) for s in f.iter("Segment")]
+                quals = {"label": [f.get("name", "")]}
+                for x in f.iter("Q"):
+                    quals[x.get("name")] = [v.get("text") or v.get("int") or v.get("predef") or "" for v in x.iter("V")]
+                if ranges:
+                    strand = {"1": 1, "2": -1}.get(f.get("directionality", "0"), 0)
+                    features.append({"type": f.get("type", "misc_feature"), "start": min(a for a, _ in ranges) - 1, "end": max(b for _, b in ranges), "strand": strand, "qualifiers": quals})
+        at += 5 + n
+    return name, q, circular, features
+
+
+def read_snapgene(spark: SparkSession, path: str) -> DataFrame:
+    """The records of SnapGene files, named by their files."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([parse_snapgene(bytes(b), p.rsplit("/", 1)[-1].removesuffix(".dna")) for p, b in zip(pdf["path"], pdf["content"], strict=True)], columns=["name", "q", "circular", "features"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RECORD)
+
+
 def load_records(spark: SparkSession, path: str, file_format: str = "auto") -> DataFrame:
-    """Records of a file or folder, by its ending or a given format: fasta or genbank."""
+    """Records of a file or folder, by its ending or a given format: fasta, genbank or snapgene."""
     kind = file_format
     if kind == "auto":
         ending = path.rstrip("/").rpartition(".")[2].lower()
-        kind = {"gb": "genbank", "gbk": "genbank", "genbank": "genbank", "fa": "fasta", "fasta": "fasta"}.get(ending)
+        kind = {"gb": "genbank", "gbk": "genbank", "genbank": "genbank", "fa": "fasta", "fasta": "fasta", "dna": "snapgene"}.get(ending)
     if kind == "genbank":
         return read_genbank(spark, path)
+    if kind == "snapgene":
+        return read_snapgene(spark, path)
     if kind == "fasta":
         return read_fasta(spark, path).select("name", "q", F.lit(False).alias("circular"), F.array().cast(FEATURES).alias("features"))
     raise ValueError(f"no such format: {path}")

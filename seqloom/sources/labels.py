@@ -9,7 +9,7 @@ from __future__ import annotations
 import dataclasses
 import inspect
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from ..functions import parsing
@@ -53,8 +53,9 @@ def parse(label: str) -> list[Label]:
     return out
 
 
-def build(label: Label, place: S.Place | None = None, registry: Mapping[str, Callable] | None = None, usage: Mapping[str, Mapping[str, float]] | None = None) -> list[S.Spec]:
-    """The specifications of a label at a place. usage: species to codon shares."""
+def build(label: Label, place: S.Place | None = None, registry: Mapping[str, Callable] | None = None, usage: Mapping[str, Mapping[str, float]] | None = None, subjects: Mapping[str, Sequence[str]] | None = None) -> list[S.Spec]:
+    """The specifications of a label at a place. usage: species to codon shares; one without a name has the table named "".
+    subjects: names to the sequences that matches are looked for in."""
     known = dict(registry or S.REGISTRY)
     if label.name not in known:
         raise TypeError(f"unknown specification {label.name!r}")
@@ -68,7 +69,16 @@ def build(label: Label, place: S.Place | None = None, registry: Mapping[str, Cal
         keywords = {k: share(v) for k, v in keywords.items()}
         rest = [share(x) for x in rest]
     if maker is S.EnforceMeltingTemperature and rest and isinstance(rest[0], str):
-        keywords["mini"], keywords["maxi"] = parsing.temperature_range(rest.pop(0))
+        text = rest.pop(0)
+        if one := re.fullmatch(r"\s*([\d.]+)\s*°?\s*C\s*", text):
+            keywords["target"] = float(one[1])
+        else:
+            keywords["mini"], keywords["maxi"] = parsing.temperature_range(text)
+    if maker in (S.AvoidMatches, S.AvoidBlastMatches):
+        name = rest.pop(0) if rest and isinstance(rest[0], str) else keywords.pop("subjects", "")
+        if name not in (subjects or {}):
+            raise ValueError(f"no sequences by the name {name!r} to look for matches in")
+        keywords["subjects"] = tuple(subjects[name])
     if maker is S.EnforceChoice:
         listed = rest.pop(0) if rest else keywords.pop("choices")
         return [S.EnforceChoice(listed if isinstance(listed, tuple) else (listed,), place=place, boost=boost)]
@@ -84,8 +94,9 @@ def build(label: Label, place: S.Place | None = None, registry: Mapping[str, Cal
     if maker is S.EnforceSequence and any(isinstance(x, tuple) for x in (*rest, *keywords.values())):
         raise ValueError("alternatives need @choice")
     if maker is S.UniquifyAllKmers:
-        if len(rest) > 1 and isinstance(rest[1], str):
-            keywords["reference"] = rest.pop(1)
+        second = 0 if "k" in keywords else 1
+        if len(rest) > second and isinstance(rest[second], str):
+            keywords["reference"] = rest.pop(second)
         if isinstance(wide := keywords.get("reference"), str) and wide not in ("here", "same"):
             keywords["reference"] = parsing.location(wide)
         if "include_reverse_complement" in keywords:
@@ -93,12 +104,18 @@ def build(label: Label, place: S.Place | None = None, registry: Mapping[str, Cal
     if maker is S.AllowPrimer:
         return S.AllowPrimer(place, *rest, **keywords)
     if maker is S.CodonOptimize or (isinstance(maker, type) and issubclass(maker, S.CodonUsageSpec)):
-        species = species or (rest.pop(0) if rest and isinstance(rest[0], str) else None)
-        if not usage or species not in usage:
-            raise ValueError(f"no codon usage of {species!r}")
+        species = species or (rest.pop(0) if rest and isinstance(rest[0], str) else "")
+        original = keywords.pop("original_species", None)
+        if "->" in species:  # from the original host to this one
+            original, species = (x.strip() for x in species.split("->"))
+        for name in (species, original):
+            if name is not None and name not in (usage or {}):
+                raise ValueError(f"no codon usage of {name!r}")
         table = dict(usage[species])
+        if maker is S.HarmonizeRCA:
+            keywords["original_usage"] = tuple(sorted(usage[original if original is not None else species].items()))
         if maker is S.CodonOptimize:
-            return [S.CodonOptimize(table, keywords.pop("method", "use_best_codon"), dict(usage.get(keywords.pop("original_species", None), {})), place=place, boost=boost)]
+            return [S.CodonOptimize(table, keywords.pop("method", "use_best_codon"), dict(usage.get(original, {})), place=place, boost=boost)]
         return [maker(tuple(sorted(table.items())), *rest, place=place, boost=boost, **keywords)]
     free = [p for p in inspect.signature(maker).parameters if p not in keywords and p not in ("place", "boost")]
     keywords |= dict(zip(free, rest, strict=False))
@@ -112,13 +129,13 @@ def share(x):
     return parsing.percentage(x) / 100 if isinstance(x, str) and x.strip().endswith("%") else x
 
 
-def from_features(features: list[dict], registry: Mapping[str, Callable] | None = None, usage=None) -> tuple[list[S.Spec], list[S.Spec]]:
+def from_features(features: list[dict], registry: Mapping[str, Callable] | None = None, usage=None, subjects=None) -> tuple[list[S.Spec], list[S.Spec]]:
     """Constraints and objectives of a record's misc_feature features."""
     out: dict[str, list[S.Spec]] = {"constraint": [], "objective": []}
     for f in features:
         if f["type"] == "misc_feature" and (text := find_label(f["qualifiers"] or {})):
             for label in parse(text):
-                out[label.role] += build(label, (f["start"], f["end"], f["strand"] or 0), registry, usage)
+                out[label.role] += build(label, (f["start"], f["end"], f["strand"] or 0), registry, usage, subjects)
     return out["constraint"], out["objective"]
 
 

@@ -43,7 +43,7 @@ def test_genbank(spark, tmp_path):
     constraints, objectives = labels.from_features([x.asDict() for x in r["features"]])
     assert constraints == [S.EnforceTranslation(place=(3, 12, -1))] and objectives[0].window == 50
     with pytest.raises(ValueError):
-        files.load_records(spark, "x.dna")
+        files.load_records(spark, "x.unknown")
 
 
 def test_motifs(spark, tmp_path):
@@ -159,3 +159,75 @@ def test_solve_and_report(spark, tmp_path):
     found = reports.optimize_with_report(rows, {"no": S.AvoidPattern("ACG"), "length": S.SequenceLengthBounds(5)}, {"gc": S.EnforceGCContent(target=0.5)}, str(tmp_path / "r"))
     assert {r["seq_id"]: r["status"] for r in found.collect()} == {1: "solved", 2: "no solution"}
     assert spark.read.csv(str(tmp_path / "r/failures"), header=True).count() == 1 and spark.read.csv(str(tmp_path / "r/scores"), header=True).count() == 3
+
+
+def test_snapgene(spark, tmp_path):
+    packet = lambda kind, body: bytes([kind]) + len(body).to_bytes(4, "big") + body
+    xml = b'<Features><Feature name="gene" directionality="2" type="CDS"><Segment range="2-4"/><Segment range="6-7"/><Q name="note"><V text="@no(ACG)"/></Q></Feature></Features>'
+    (tmp_path / "p.dna").write_bytes(packet(9, b"SnapGene" + b"\0" * 6) + packet(0, b"\x01acgtacgt") + packet(10, xml) + packet(99, b"other"))
+    r = files.load_records(spark, str(tmp_path / "p.dna")).first()
+    assert (r["name"], r["q"], r["circular"]) == ("p", "ACGTACGT", True)
+    f = r["features"][0]
+    assert (f["type"], f["start"], f["end"], f["strand"], f["qualifiers"]["note"]) == ("CDS", 1, 7, -1, ["@no(ACG)"])
+    with pytest.raises(ValueError):
+        files.parse_snapgene(b"\x09\x00\x00\x00\x04none", "x")
+
+
+def test_fasta_with_a_mark_inside(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">x a->b and >c\r\nACGT\r\n>y\nGG\n")
+    rows = {r["name"]: r for r in files.read_fasta(spark, str(tmp_path / "a.fa")).collect()}
+    assert set(rows) == {"x", "y"} and rows["x"]["description"] == "a->b and >c" and rows["x"]["q"] == "ACGT"
+
+
+# Annotations as people write them.
+ANNOTATIONS = [
+    "@no(CG)", "~no(CG)", "@no(ATH, strand=both)", "@no(ATG.*TAA)", "@no(4x2mer)", "@no(BsmBI_site, strand=both)", "@keep", "~keep", "~change", "@insert(BsmBI_site)", "@insert(CG, occurences=3)",
+    "@gc(45-55%)", "~gc(60%/100bp)", "@cds", "~CodonOptimize(e_coli)", "~use_best_codon(e_coli)", "~match_codon_usage", "~harmonize_rca(e_coli -> h_sapiens)", "@primer(tmin=50, tmax=70)", "@all_unique_kmers(k=15)",
+    "@all_unique_kmers(k=15, here)", "@choice(ATG|TTA|CGT)", "@tm(50-70C)", "~tm(55C)", "@tm(50-70C) & @all_unique_kmers(k=15)", "@no_match(e_coli, 20)", "@no_match(e_coli, 20, mismatches=2)", "@sequence(KGTCTCNATGC)",
+    "@cds & @no(CG) & @gc(45-55%)", "~gc(60%, boost=20)",
+]
+
+
+@pytest.mark.parametrize("text", ANNOTATIONS)
+def test_annotations_are_specifications(text):
+    usage = {n: {c: 0.1 + i % 5 / 10 for i, c in enumerate(sorted(S.GENETIC_CODE))} for n in ("e_coli", "h_sapiens", "")}
+    made = [x for label in labels.parse(text) for x in labels.build(label, (3, 24, 1), usage=usage, subjects={"e_coli": ["ACGT" * 10]})]
+    q = "CAATGCACACATCGATTCATCACTCATAAA"
+    for x in made:
+        if isinstance(x, (S.EnforceSequence, S.EnforceChoice)):
+            continue
+        score, places = x.bound(q).measure(q)
+        assert isinstance(score, float) and x.place == (3, 24, 1) and isinstance(x.label(), str) and isinstance(x.short_label(), str)
+    if "here" in text:
+        assert made[0].within
+    if "55C" in text:
+        assert made[0].target == 55
+    if "->" in text:
+        assert dict(made[0].original_usage) == usage["e_coli"]
+
+
+def test_command_line_with_usage(spark, tmp_path):
+    from seqloom.__main__ import main
+
+    feature = lambda a, b, label, strand=1: {"type": "misc_feature", "start": a, "end": b, "strand": strand, "qualifiers": {"label": [label]}}
+    text = files.genbank_text("rec", "ATGAAAGCACCCTAA", False, [feature(0, 15, "@cds"), feature(0, 15, "~optimize(own)"), feature(0, 15, "@no(ClaimI_site)")])
+    (tmp_path / "a.gb").write_text(text + "\n" + text)
+    rows = ["species,codon,share"] + [f"own,{c},{0.9 if c in ('AAG', 'GCT', 'CCG') else 0.05}" for c in S.GENETIC_CODE]
+    (tmp_path / "usage.csv").write_text("\n".join(rows))
+    (tmp_path / "enzymes.csv").write_text("name,site\nClaimI,AAGGCC\n")
+    main([str(tmp_path / "a.gb"), str(tmp_path / "out"), "--mute", "--usage", str(tmp_path / "usage.csv"), "--enzymes", str(tmp_path / "enzymes.csv")])
+    solved = spark.read.parquet(str(tmp_path / "out/solved")).collect()
+    assert [r["q"] for r in solved] == ["ATGAAGGCTCCGTAA"] * 2 and all(r["status"] == "solved" for r in solved)
+    shown = files.read_genbank(spark, str(tmp_path / "out/records")).first()["features"]
+    assert any("=>" in f["qualifiers"]["label"][0] for f in shown) and len(shown) > 3
+
+
+def test_report_archive(spark):
+    import io
+    import zipfile
+
+    rows = spark.createDataFrame([(1, "ACGT", "ACCT"), (2, "GGGG", "GGGG")], "seq_id long, before string, after string")
+    with zipfile.ZipFile(io.BytesIO(reports.report_archive(rows, {"gc": S.EnforceGCContent(target=0.5)}))) as z:
+        assert set(z.namelist()) == {"scores.csv", "edits.csv", "sequences.csv"} and "G=>C" in z.read("edits.csv").decode()
+    with pytest.raises(ValueError):
+        reports.report_archive(rows, {}, most=1)
