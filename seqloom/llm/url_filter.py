@@ -6,8 +6,8 @@ prefix as long as some rule's path) are hashed, found by vectorised binary searc
 so that two strings with one key do no harm. The longest rule that fits wins. The array says block only for what
 it holds: a url that no rule fits is allowed.
 
-The driver writes the two files to a folder of its own, which goes when it ends, and they go to the executors with
-SparkContext.addFile; each task maps them. Their size is checked against max_bytes first.
+The driver writes the two files to the shared folder, and SparkContext.addFile brings them to each executor; each task maps
+them. Their size is checked against max_bytes first.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule, and is allowed. Repeated rows
 count each; an empty table gives an empty table; an empty rule list allows all.
@@ -15,21 +15,19 @@ count each; an empty table gives an empty table; an empty rule list allows all.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, new_path
 
 Rule = tuple[str, str, str]
 #: The contract's rules: host, path, verdict.
@@ -48,20 +46,22 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def write_digests(rules: Sequence[Rule], folder: str, max_bytes: int = 2 << 30, key=xxhash.xxh64_intdigest) -> tuple[str, str]:
-    """The array's two files. Strings are kept as offsets and bytes; the verdict is a string's first byte. The later of two equal rules stays."""
+    """The array's two files in a folder (a path or a URI). Strings are kept as offsets and bytes; the verdict is a string's first
+    byte. The later of two equal rules stays."""
     last = {h + p: v for h, p, v in rules}
     items = sorted((key(s.encode()), s, v) for s, v in last.items())
     if (need := sum(25 + len(s.encode()) for _, s, _ in items)) > max_bytes:
         raise ValueError(f"the rules take {need} bytes, the limit is {max_bytes}")
-    name = uuid.uuid4().hex
-    keys, strings = f"{folder}/keys-{name}", f"{folder}/strings-{name}"
+    name, (to, base) = uuid.uuid4().hex, fs.FileSystem.from_uri(folder)
+    to.create_dir(base, recursive=True)
     blob = [v[0].encode() + s.encode() for _, s, v in items]
     paths = sorted({len(p) for _, p, _ in rules})
-    np.array([len(items), len(paths), *paths, *(k for k, _, _ in items)], np.uint64).tofile(keys)
-    with open(strings, "wb") as f:
-        np.cumsum([0, *map(len, blob)], dtype=np.int64).tofile(f)
-        f.write(b"".join(blob))
-    return keys, strings
+    keys = np.array([len(items), len(paths), *paths, *(k for k, _, _ in items)], np.uint64).tobytes()
+    strings = np.cumsum([0, *map(len, blob)], dtype=np.int64).tobytes() + b"".join(blob)
+    for part, data in (("keys", keys), ("strings", strings)):
+        with to.open_output_stream(f"{base}/{part}-{name}") as f:
+            f.write(data)
+    return f"{folder}/keys-{name}", f"{folder}/strings-{name}"
 
 
 class DigestArray:
@@ -109,9 +109,7 @@ class DigestArray:
 
 def judge_urls(spark: SparkSession, urls: DataFrame, id_col: str, url_col: str, rules: Sequence[Rule]) -> DataFrame:
     """id_col, host, path, rule, verdict of each row. No shuffle."""
-    folder = tempfile.mkdtemp(prefix="digests-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    files = write_digests(rules, folder)
+    files = write_digests(rules, new_path(spark, "digests"))
     for f in files:
         spark.sparkContext.addFile(f)
     names = [os.path.basename(f) for f in files]
