@@ -3,7 +3,9 @@
 import os
 import re
 
+import cases
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_minhash import brute
 from test_mixing import targets
 from tokenizers import Tokenizer
@@ -55,3 +57,33 @@ def test_stages(spark):
             assert sorted((r["doc_id"], r["n_tokens"]) for r in docs.collect()) == want
         before = now
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows and columns with the stages' own names go through every stage."""
+    good = [" ".join(f"w{(i * 7 + k * (i % 5 + 1)) % 900}" for k in range(60 + i)) + "." for i in range(40)]
+    rows = [*cases.TEXTS, *((100 + i, t, "a" if i % 3 else None) for i, t in enumerate(good)), (100, good[0], None), (200, good[5], "b"), (201, good[6] + " end", "b")]
+    docs = cases.docs(spark, rows).withColumn("_row", F.lit("own")).withColumn("_key", F.lit("own")).withColumn("_host", F.lit("own"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100 + i, int(i != 3), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = None
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialized(stage(spark, docs, str(tmp_path)), "odd")
+        if name == "bpe":
+            assert docs.count() == len(before)
+            break
+        now = docs.collect()
+        assert docs.columns[-3:] == ["_row", "_key", "_host"] and all((r["_row"], r["_key"], r["_host"], r["_text"]) == ("own", "own", "own", "clash") for r in now)
+        ids = sorted(r["doc_id"] for r in now)
+        if name == "quality_rules":
+            assert ids == sorted([6, 7, *range(100, 140), 100, 200, 201])
+        if name == "near_dedup":
+            assert len(ids) == len(set(ids)) and 200 not in ids and 201 not in ids and 7 not in ids
+        before = now
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(before)
+
+
+def test_empty_tables(spark, tmp_path):
+    cases.empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
