@@ -62,6 +62,16 @@ def codon_location(loc: Column, i: Column) -> Column:
     return F.when(loc["strand"] == -1, location(loc["end"] - 3 * (i + 1), loc["end"] - 3 * i, loc["strand"])).otherwise(location(loc["start"] + 3 * i, loc["start"] + 3 * (i + 1), loc["strand"]))
 
 
+def whole_codons(loc: Column, start: Column | int, end: Column | int) -> Column:
+    """The whole codons of a location that [start, end) touches, counted from its end on strand -1; null if it touches none."""
+    start, end = (x if isinstance(x, Column) else F.lit(x) for x in (start, end))
+    a, b = F.greatest(loc["start"], start), F.least(loc["end"], end)
+    down, up = lambda x: 3 * F.floor(x / 3), lambda x: 3 * F.ceil(x / 3)
+    plus = location(loc["start"] + down(a - loc["start"]), F.least(loc["end"], loc["start"] + up(b - loc["start"])), loc["strand"])
+    minus = location(F.greatest(loc["start"], loc["end"] - up(loc["end"] - a)), loc["end"] - down(loc["end"] - b), loc["strand"])
+    return F.when(a < b, F.when(loc["strand"] == -1, minus).otherwise(plus))
+
+
 def recentred(locations: Column, length: Column) -> Column:
     """Of locations on three copies in a row, those that meet the middle one, counted from its start."""
     meet = F.filter(locations, lambda x: (x["start"] < 2 * length) & (x["end"] > length))

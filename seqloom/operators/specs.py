@@ -1292,6 +1292,17 @@ class EnforceRegionsCompatibility(Spec):
         bad = [(~self.column_condition(dna.part(q, *a), dna.part(q, *b))).cast("int") for a, b in self.pairs()]
         return -sum(bad, F.lit(0)).cast("double")
 
+    def incompatibilities(self, q: Column) -> Column:
+        """The regions by how many others they don't fit, as an array of region and n, the most first."""
+        bad = [F.when(~self.column_condition(dna.part(q, *a), dna.part(q, *b)), 1).otherwise(0) for a, b in self.pairs()]
+        counts = [sum((x for x, pair in zip(bad, self.pairs(), strict=True) if r in pair), F.lit(0)) for r in self.regions]
+        rows = F.array(*[F.struct((-n).alias("less"), F.lit(k).alias("region"), n.alias("n")) for k, n in enumerate(counts)])
+        return F.transform(F.filter(F.array_sort(rows), lambda x: x["n"] > 0), lambda x: F.struct(x["region"], x["n"]))
+
+    def locations(self, q: Column) -> Column:
+        places = F.array(*[location(*r) for r in self.regions])
+        return F.transform(self.incompatibilities(q), lambda x: F.get(places, x["region"]))
+
     def measure(self, s: str):
         take = lambda p: revcomp(s[p[0] : p[1]]) if p[2] == -1 else s[p[0] : p[1]]
         n: Counter = Counter()

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import batch, codons, records, reports
-from ..operators.specs import AvoidHairpins, AvoidPattern, CodonOptimize, UniquifyAllKmers
+from ..operators import intervals as iv
+from ..operators.specs import AllowPrimer, AvoidHairpins, AvoidPattern, CodonOptimize, CustomSpec, EnforceGCContent, EnforceRegionsCompatibility, UniquifyAllKmers
 from ..sources.sequences import digest_sequences, records as as_records
 from . import sql
 from .codon_queries import USAGE, usage
 from .common import r6
 from .registry import query
-from .score_queries import PAIRS, RULE_SCORES, RULES, pairs
+from .score_queries import PAIRS, RULE_SCORES, RULES, TM_SQL, pairs
 
 _UNPIVOT = f"WITH {RULE_SCORES}, u AS (UNPIVOT (SELECT * FROM sc) ON {', '.join(RULES)} INTO NAME spec VALUE score)"
 
@@ -222,3 +223,66 @@ def normalised_input(spark, sf_dir):
     given = digest_sequences(spark, sf_dir).select(F.col("seq_id").alias("record"), F.lower("q").alias("bases"))
     found = batch.evaluations(batch.sequences_from(spark, given, "record", "bases"), RULES)
     return found.groupBy("seq_id").agg(F.bool_and("passes").alias("all_pass"), F.count_if(~F.col("passes")).alias("breaches"))
+
+
+@query(f"""WITH {PAIRS}, e AS (SELECT seq_id, i, a, b, i - row_number() OVER (PARTITION BY seq_id ORDER BY i) AS g FROM d WHERE differs),
+s AS (SELECT seq_id, min(i)::BIGINT AS start, (max(i) + 1)::BIGINT AS "end", string_agg(a, '' ORDER BY i) || '=>' || string_agg(b, '' ORDER BY i) AS label FROM e GROUP BY seq_id, g)
+SELECT * FROM s UNION ALL SELECT seq_id, 4::BIGINT AS start, 40::BIGINT AS "end", '@AvoidPattern[4-40](ACG)' AS label FROM first UNION ALL SELECT seq_id, 0::BIGINT AS start, 64::BIGINT AS "end", '~EnforceGCContent(mini:0.5, maxi:0.5)' AS label FROM first""")
+def problem_records(spark, sf_dir):
+    """Problems as features of their records: constraints, objectives and edits."""
+    import pandas as pd
+
+    from ..operators.records import FEATURES
+    from ..sources.labels import problem_features
+
+    rules, aims = [AvoidPattern("ACG", place=(4, 40, 0))], [EnforceGCContent(target=0.5)]
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(k, problem_features(rules, aims, a, b)) for k, a, b in zip(pdf["seq_id"], pdf["q"], pdf["edited"], strict=True)], columns=["seq_id", "features"])
+
+    rows = pairs(spark, sf_dir).mapInPandas(run, f"seq_id long, features {FEATURES}").select("seq_id", F.explode("features").alias("x"))
+    return rows.select("seq_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), F.col("x.qualifiers")["label"][0].alias("label"))
+
+
+@query(f"WITH {sql.seqs()}, {sql.kmers(2)} SELECT seq_id, (0 - count(*) FILTER (WHERE w = 'CG'))::DOUBLE AS own, (0 - count(*) FILTER (WHERE w = 'TA' AND i BETWEEN 10 AND 48))::DOUBLE AS labelled FROM words GROUP BY seq_id")
+def custom_specifications(spark, sf_dir):
+    """A function of one's own as a specification, and one that a label names by an own registry."""
+    from ..sources import labels
+
+    own = CustomSpec(evaluate=lambda s: -s.count("CG"), name="no CG")
+    registry = {"MySpecification": lambda word, **more: CustomSpec(evaluate=lambda s: -s.count(word), name="mine", **more)}
+    (mine,) = labels.build(labels.Label("constraint", "MySpecification", ("TA",), ()), (10, 50, 0), registry=registry)
+    q = F.col("q")
+    return digest_sequences(spark, sf_dir).select("seq_id", (own.score(q) + F.lit(0.0)).alias("own"), (mine.score(q) + F.lit(0.0)).alias("labelled"))
+
+
+@query(f"""WITH {sql.seqs()}, m AS (SELECT seq_id, i, least(w, {sql.rc('w')}) AS m FROM (SELECT seq_id, i, substr(q, i::INT + 1, 6) AS w FROM (SELECT seq_id, q, unnest(generate_series(0, 57)) AS i FROM seqs))),
+r AS (SELECT seq_id, i FROM m QUALIFY count(*) OVER (PARTITION BY seq_id, m) > 1), n AS (SELECT seq_id, count(*) AS n FROM r WHERE i >= 10 AND i + 6 < 42 GROUP BY seq_id),
+part AS (SELECT seq_id, substr(q, 11, 32) AS q FROM seqs), {TM_SQL.replace('FROM seqs', 'FROM part').replace('words', 'pairs')},
+rep AS (SELECT seq_id, count(*) FILTER (WHERE substr(q, i::INT + 1, 6) = repeat(substr(q, i::INT + 1, 2), 3) AND i <= 26) AS a, count(*) FILTER (WHERE substr(q, i::INT + 1, 6) = repeat(substr(q, i::INT + 1, 3), 2) AND i <= 26) AS b FROM (SELECT seq_id, q, unnest(generate_series(0, 31)) AS i FROM part) GROUP BY seq_id)
+SELECT part.seq_id, (0 - coalesce(n.n, 0))::DOUBLE AS homologies, round(10.0 - abs(tm - 60), 4) AS melting, (0 - rep.a)::DOUBLE AS twos, (0 - rep.b)::DOUBLE AS threes FROM part LEFT JOIN n ON n.seq_id = part.seq_id JOIN tms ON tms.seq_id = part.seq_id JOIN rep ON rep.seq_id = part.seq_id""")
+def primer_scores(spark, sf_dir):
+    """What makes a place fit for a primer: no homologies, the melting temperature, no repeats."""
+    homologies, melting, twos, threes = AllowPrimer((10, 42, 0), max_homology=6, repeats=((2, 3), (3, 2)))
+    q = F.col("q")
+    return digest_sequences(spark, sf_dir).select("seq_id", (homologies.score(q) + F.lit(0.0)).alias("homologies"), F.round(melting.score(q), 4).alias("melting"), (twos.score(q) + F.lit(0.0)).alias("twos"), (threes.score(q) + F.lit(0.0)).alias("threes"))
+
+
+@query("""WITH l AS (SELECT o_orderkey AS seq_id, o_orderkey % 60 AS a, o_orderkey % 60 + o_orderkey % 9 AS b FROM orders), o AS (SELECT *, greatest(a, 4) AS x, least(b, 49) AS y FROM l WHERE greatest(a, 4) < least(b, 49))
+SELECT seq_id, (4 + 3 * ((x - 4) // 3))::BIGINT AS plus_start, (4 + 3 * ceil((y - 4) / 3.0))::BIGINT AS plus_end, (49 - 3 * ceil((49 - x) / 3.0))::BIGINT AS minus_start, (49 - 3 * ((49 - y) // 3))::BIGINT AS minus_end FROM o""")
+def codon_localisation(spark, sf_dir):
+    """The whole codons of a coding place that a change touches, on either strand."""
+    i = F.col("seq_id")
+    rows = digest_sequences(spark, sf_dir).select("seq_id", *[iv.whole_codons(iv.location(4, 49, s), i % 60, i % 60 + i % 9).alias(n) for n, s in (("plus", 1), ("minus", -1))])
+    return rows.where("plus IS NOT NULL").select("seq_id", *[F.col(f"{n}.{e}").cast("long").alias(f"{n}_{e}") for n in ("plus", "minus") for e in ("start", "end")])
+
+
+@query(f"""WITH {sql.seqs()}, r AS (SELECT seq_id, r, substr(q, 16 * r::INT + 1, 16) AS p FROM seqs, (SELECT unnest(generate_series(0, 3)) AS r))
+SELECT a.seq_id, (16 * a.r)::BIGINT AS start, count(*)::BIGINT AS n FROM r AS a JOIN r AS b ON a.seq_id = b.seq_id AND a.r <> b.r AND hamming(a.p, b.p) < 11 GROUP BY a.seq_id, a.r""")
+def region_incompatibilities(spark, sf_dir):
+    """How many of the other regions each region doesn't fit."""
+    regions = tuple((16 * k, 16 * k + 16, 0) for k in range(4))
+    spec = EnforceRegionsCompatibility(regions=regions, column_condition=lambda a, b: dna.n_differences(a, b) >= 11)
+    rows = digest_sequences(spark, sf_dir).select("seq_id", F.explode(F.arrays_zip(spec.locations(F.col("q")).alias("x"), spec.incompatibilities(F.col("q")).alias("y"))).alias("z"))
+    return rows.select("seq_id", F.col("z.x.start").cast("long").alias("start"), F.col("z.y.n").cast("long").alias("n"))

@@ -178,6 +178,10 @@ _HEAT = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in ALL_STAC
 _ENDS = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in TERMINAL.items())
 
 
+TM_SQL = f"""{sql.kmers(2)}, st(w, h, s) AS (VALUES {_HEAT}), en(b, h, s) AS (VALUES {_ENDS}), t AS (SELECT seq_id, any_value(q) AS q, sum(h) AS h, sum(s) AS s FROM words JOIN st USING (w) GROUP BY seq_id),
+tms AS (SELECT seq_id, 1000 * (t.h + x.h + y.h) / (t.s + x.s + y.s + 0.368 * (length(q) - 1) * ln(0.05::DOUBLE) + 1.987 * ln(50e-9::DOUBLE / 4)) - 273.15 AS tm FROM t JOIN en AS x ON x.b = left(q, 1) JOIN en AS y ON y.b = right(q, 1))"""
+
+
 @query(f"""WITH {sql.seqs('a')}, {sql.kmers(2)}, st(w, h, s) AS (VALUES {_HEAT}), en(b, h, s) AS (VALUES {_ENDS}),
 t AS (SELECT seq_id, any_value(q) AS q, sum(h) AS h, sum(s) AS s FROM words JOIN st USING (w) GROUP BY seq_id)
 SELECT seq_id, round(1000 * (t.h + x.h + y.h) / (t.s + x.s + y.s + 0.368 * 31 * ln(0.05::DOUBLE) + 1.987 * ln(50e-9::DOUBLE / 4)) - 273.15, 4) AS tm,
