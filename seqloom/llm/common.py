@@ -20,7 +20,10 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data set. One that lies in fewer pieces than there are cores is dealt out, as the work on a text is more
+    than its move; a larger one stays where it is."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:

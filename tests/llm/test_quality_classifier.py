@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 
 import cases
@@ -64,3 +66,28 @@ def test_kept_rows_of_odd_cases(spark):
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 3, 4, 5]
     assert q.kept_rows(cases.empty(spark), model).count() == 0
+
+
+def plain(text):
+    """The statistics, one by one."""
+    words = [w.decode() for w in text.encode().split()]
+    n, chars = max(1, len(words)), max(1, len(text))
+    count = lambda test: sum(map(test, text))
+    return {
+        "log_words": np.log1p(len(words)), "chars_per_word": len(text) / n, "upper_share": count(lambda c: unicodedata.category(c) == "Lu") / chars, "digit_share": count(lambda c: "0" <= c <= "9") / chars,
+        "symbols_per_word": count(lambda c: c in "#*$%&|<>") / n, "shouts_per_word": count(lambda c: c in "!?") / n, "stops_per_word": count(lambda c: c in ".,;:") / n, "lines_per_word": text.count("\n") / n,
+        "long_per_word": sum(len(w) >= 25 for w in words) / n, "distinct_words": len(set(words)) / n,
+    }
+
+
+def test_statistics_against_a_plain_form(spark):
+    rng = random.Random(6)
+    pieces = ["a", "B", "word", "É", "ß", "日本", "🙂", "x" * 30, "12", "#", "<|>", "!", "?", ".", ",", ";:", "\n", "\t", " ", "  ", "\x0b", "\xa0", "\u2003"]
+    texts = ["", " ", "\n\n", *("".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(1, 60))) for _ in range(150)), cases.LONG]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", q.described(F.col("t")).alias("s")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain(texts[r["i"]])
+        assert set(want) == set(r["s"].asDict())
+        for name, x in want.items():
+            assert abs(r["s"][name] - x) < 1e-9, (name, texts[r["i"]][:80])
