@@ -4,8 +4,8 @@ Statistics of the text, all Spark expressions, are cut by small randomised trees
 rows. Each path from a root to a node is a rule: a conjunction of comparisons. A logistic model with an L1 penalty gives
 most rules no weight; the others become one Spark expression, so that scoring reads each text once and shuffles nothing.
 
-Defined results: a null text scores as an empty one; without rows of both labels the score is their share of label 1, or
-0.5 without any; repeated rows get equal scores; an empty table gives an empty table. Only the named columns are read.
+Defined results: a null text scores as an empty one; without rows of both labels, or with too few of one for a split, the
+score is their share of label 1, or 0.5 without any; repeated rows get equal scores; an empty table gives an empty table. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -139,6 +139,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, d
             if 0 < on.sum() < len(y) and (key not in rules or len(rule) < len(rules[key])):
                 rules[key] = rule
     kept = list(rules.values())
+    if not kept:  # too few rows of a label for a split
+        return RuleModel(names, [], [], float(np.log(y.mean() / (1 - y.mean()))))
     weights, bias = lasso_logistic(np.column_stack([holds(r, x) for r in kept]).astype(float), y, penalty)
     used = np.flatnonzero(np.abs(weights) > 1e-6)
     return RuleModel(names, [kept[i] for i in used], [float(weights[i]) for i in used], bias)
