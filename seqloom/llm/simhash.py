@@ -10,13 +10,15 @@ which one at least is equal in any such pair; a table for each block, led by tha
 many fingerprints share a block, their other bits are cut into radius + 1 blocks again, one of which must be equal too.
 
 Defined results: a null text is empty; a text without words has the fingerprint of 32 zeros; equal texts have equal
-fingerprints; rows with equal ids follow each other, ordered by text; null ids come first; the only row of a table is
+fingerprints; rows with equal ids follow each other, ordered by a hash of their text; null ids come first; the only row of a table is
 its own next; an empty table gives an empty table. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,20 +91,39 @@ def _bucket(column: Column, splits: list) -> Column:
 
 def with_next(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rows in ranges of ids (_bucket, _row), each with the next row's text (_next). The first row of each range is also
-    put, marked _late, behind the range before it, so that texts are shuffled once and no range needs another."""
+    put, marked _late, behind the range before it, so that texts are shuffled once and no range needs another. Rows with
+    equal ids follow each other by a hash of their text; an id that fills several ranges is cut by that hash."""
     n = min(4 * partitions(rows.sparkSession), MOST_RANGES)
-    cuts = rows.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 10 * n).alias("cuts"), F.min(id_col).alias("low"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
+    cuts = rows.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 10 * n).alias("cuts"), F.min(id_col).alias("low"), F.count_if(F.col(id_col).isNull()).alias("nulls"), F.count("*").alias("n")).first()
     low = None if cuts["nulls"] else cuts["low"]
     splits = sorted(x for x in set(cuts["cuts"] or ()) if x != low)
-    bucket = _bucket(F.col(id_col), splits)
-    firsts = F.array(*[F.lit(x) for x in [cuts["low"], *splits]])
-    is_first = F.col(id_col).isNull() if low is None else F.col(id_col).eqNullSafe(F.get(firsts, bucket))
-    is_first = is_first | ((bucket > 0) & F.col(id_col).eqNullSafe(F.get(firsts, bucket)))
-    before = F.pmod(bucket - 1, F.lit(len(splits) + 1)).cast("int")
+    firsts = [low, *splits]
+    times = Counter(cuts["cuts"] or ())
+    # how many ranges each range's first id fills
+    parts = [max(1, times[x] if x is not None else round(n * cuts["nulls"] / max(1, cuts["n"]))) for x in firsts]
+    at = lambda values, i: F.get(F.array(*map(F.lit, values)), i)
+    by_id, tie = _bucket(F.col(id_col), splits), F.xxhash64(text_col)
+    if max(parts) == 1:
+        bucket, ranges = by_id, len(splits) + 1
+        is_first = F.col(id_col).eqNullSafe(at(firsts, bucket)) if low is not None else F.when(bucket == 0, F.col(id_col).isNull()).otherwise(F.col(id_col).eqNullSafe(at(firsts, bucket)))
+        before = F.pmod(bucket - 1, F.lit(ranges)).cast("int")
+    else:
+        offsets = [0, *itertools.accumulate(parts)]
+        share = (tie / F.lit(float(1 << 64)) + 0.5) * at(parts, by_id)
+        own = F.col(id_col).eqNullSafe(at(firsts, by_id))
+        bucket = at(offsets, by_id) + F.when(own, F.least(F.floor(share).cast("int"), at(parts, by_id) - 1)).otherwise(at(parts, by_id) - 1)
+        found = rows.groupBy(bucket.alias("b")).agg(F.min(F.struct(F.col(id_col).alias("id"), tie.alias("t"))).alias("first")).orderBy("b").collect()
+        there, ranges = {r["b"]: r["first"] for r in found}, offsets[-1]
+        earlier, last = [], found[-1]["b"] if found else 0
+        for k in range(ranges):
+            earlier.append(last)
+            last = k if k in there else last
+        is_first = (tie == at([there[k]["t"] if k in there else None for k in range(ranges)], bucket)) & F.col(id_col).eqNullSafe(at([there[k]["id"] if k in there else None for k in range(ranges)], bucket))
+        before = at(earlier, bucket)
     places = F.when(is_first, F.array(F.struct(bucket.alias("b"), F.lit(False).alias("late")), F.struct(before.alias("b"), F.lit(True).alias("late"))))
     places = places.otherwise(F.array(F.struct(bucket.alias("b"), F.lit(False).alias("late"))))
     dealt = rows.withColumn("_place", F.explode(places)).select("*", F.col("_place.b").alias("_bucket"), F.col("_place.late").alias("_late")).drop("_place")
-    order = Window.partitionBy("_bucket").orderBy("_late", id_col, text_col)
+    order = Window.partitionBy("_bucket").orderBy("_late", id_col, tie, text_col)
     return dealt.select("*", F.row_number().over(order).alias("_row"), F.lead(text_col).over(order).alias("_next"))
 
 

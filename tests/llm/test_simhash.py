@@ -2,13 +2,18 @@ import hashlib
 import random
 
 import cases
+import xxhash
 from pyspark.sql import functions as F
 
 from seqloom.llm import simhash
 
 
 def edited(docs):
-    rows = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    def tie(text):
+        h = xxhash.xxh64_intdigest((text or "").encode(), seed=42)
+        return h - (1 << 64) * (h >> 63), text or ""
+
+    rows = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
     out = []
     for k, (i, t, _) in enumerate(rows):
         t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
@@ -63,6 +68,18 @@ def test_many_ranges(spark):
     check(spark, [(rng.choice([rng.randint(-50, 50), i * 1000]), " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))), "s") for i in range(150)])
 
 
+def test_hot_ids(spark):
+    """An id, or none, that a third of all rows have is cut over several ranges; each row still has its next one."""
+    rng = random.Random(15)
+    text = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))
+    for hot in ([7], [None], [7, None], [-5], [999]):
+        docs = [(rng.choice(hot) if rng.random() < 0.5 else rng.randint(0, 500), text(), "s") for _ in range(300)]
+        check(spark, docs)
+        dealt = simhash.with_next(cases.docs(spark, docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_id", "_text")
+        most = dealt.groupBy("_bucket").count().agg(F.max("count")).first()[0]
+        assert most < 75
+
+
 def test_neighbours(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(128) for _ in range(20)]
