@@ -116,3 +116,18 @@ def test_salted_join(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted((r["id"], r["v"]) for r in out) == [(i, i % 3 * 10) for i in range(1000)]
+
+
+def test_many_sources(spark):
+    """The same mix where the table of sources is too large to go to the rows."""
+    rng = random.Random(8)
+    docs = cases.docs(spark, [(i if i % 50 else None, "w " * rng.randint(0, 40), "hot" if rng.random() < 0.4 else f"s{rng.randint(0, 60)}") for i in range(600)])
+    key = lambda r: str(tuple(r))
+    want, rows = sorted(mixing.mix(docs).collect(), key=key), sorted(mixing.mixed_rows(docs).collect(), key=key)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert sorted(mixing.mix(docs).collect(), key=key) == want and sorted(mixing.mixed_rows(docs).collect(), key=key) == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(r["copies"] for r in want) == len(rows)
