@@ -6,12 +6,13 @@ copy of p without v takes over as the target of u, and each state with an arc u
 is kept as its parent and the arc it lacks, and a new token's arcs as "where u is", so a gadget takes constant memory and
 whether a state has an arc is found by walking back over the gadgets; found transitions go to a table.
 
-Two tables are compiled: a trie of the labels, from node and byte to node, and the states' arcs as default transitions, a
-state's row being its parent's less one arc; rows that are asked for are kept.
+Two tables are compiled: an Aho-Corasick automaton of the labels, which gives the tokens that end at each place of a word in
+one pass, the longest first; and the states' arcs as default transitions, a state's row being its parent's less one arc.
+Transitions that were asked for are kept.
 
 A word is encoded in one pass from left to right. The token sequence of each of its beginnings is unique, so it is enough
-to know its last token: from each end, the trie is followed, and each token on the way whose arc the state after the last
-token has is the last one of the longer beginning. No step is taken back. Decoding emits the labels of the arcs.
+to know its last token: the first of the tokens that end there whose arc the state before it has. No step is taken back.
+Decoding emits the labels of the arcs.
 
 Defined results: a null text is encoded as an empty one, with no tokens; strings of added tokens in a text become their
 token; repeated rows give repeated results; an empty table gives an empty table. Only the named columns are read.
@@ -23,6 +24,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterable
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,8 +34,8 @@ from .common import map_batches
 
 #: Fixed value: the pre-split of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words and transitions that a task keeps; beyond that they are found anew.
-KEPT_WORDS, KEPT_ARCS = 200_000, 2_000_000
+#: Words (twice as many, see Coder) and transitions that a worker keeps, some 250 MB; beyond that they are found anew.
+KEPT_WORDS, KEPT_ARCS = 400_000, 2_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,16 +57,22 @@ class TokenAutomaton:
         self.table: dict[int, bool] = {}
         for step, (u, v) in enumerate(merges, 1):
             self._gadget(step, u, v, tokens)
-        # node and byte to node, and the token whose label ends at a node
-        self.child: dict[int, int] = {}
-        self.token: list[int] = [-1]
+        self.ending = self._ending()
+
+    def _ending(self) -> ahocorasick.Automaton:
+        """Token and length of each label, by where they end."""
+        out = ahocorasick.Automaton()
         for label, token in self.ids.items():
-            node = 0
-            for byte in label:
-                node = self.child.setdefault(node << 8 | byte, len(self.token))
-                if node == len(self.token):
-                    self.token.append(-1)
-            self.token[node] = token
+            out.add_word(label.decode("latin-1"), (token, len(label)))
+        out.make_automaton()
+        return out
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("ending", "table")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.table, self.ending = {}, self._ending()
 
     def _gadget(self, step: int, u: bytes, v: bytes, tokens: dict[bytes, int]) -> None:
         a, b, whole = self.ids.get(u), self.ids.get(v), u + v
@@ -82,43 +90,47 @@ class TokenAutomaton:
     def _walk(self, state: int, token: int) -> bool:
         """Whether the state has the arc. Of a token made after the state was, the arc is there if its first part's is;
         an older one's is there if the parent has it and the copy doesn't lack it."""
+        made, left, born, lacks, parent = self.made, self.left, self.born, self.lacks, self.parent
+        at = made[token]
         while state:
-            if self.made[token] >= self.born[state]:
-                token = self.left[token]
-            elif self.lacks[state] == token:
+            if at >= born[state]:
+                token = left[token]
+                at = made[token]
+            elif lacks[state] == token:
                 return False
             else:
-                state = self.parent[state]
+                state = parent[state]
         return True
 
     def encode(self, word: bytes) -> tuple[int, ...]:
         """The labels' ids on the one path for the word."""
-        n, child, tokens, target, table = len(word), self.child, self.token, self.target, self.table
-        last: list[int | None] = [None] * (n + 1)
-        for start in range(n):
-            before = last[start]
-            if start and before is None:
+        target, table = self.target, self.table
+        #: for each end, the token that ends there and its size
+        last: list[tuple[int, int] | None] = [None] * (len(word) + 1)
+        found = -1
+        for at, hit in self.ending.iter(word.decode("latin-1")):
+            if at == found:
                 continue
-            state = target[before] << 20 if start else 0
-            node = 0
-            for end in range(start + 1, n + 1):
-                if (node := child.get(node << 8 | word[end - 1])) is None:
-                    break
-                if (token := tokens[node]) < 0 or last[end] is not None:
+            if start := at + 1 - hit[1]:
+                if (before := last[start]) is None:
                     continue
-                if (known := table.get(state | token)) is None:
+                key = target[before[0]] << 20 | hit[0]
+                if (known := table.get(key)) is None:
                     if len(table) >= KEPT_ARCS:
                         table.clear()
-                    known = table[state | token] = self._walk(state >> 20, token)
-                if known:
-                    last[end] = token
-        path, at = [], n
-        while at:
-            if (token := last[at]) is None:
+                    known = table[key] = self._walk(key >> 20, hit[0])
+                if not known:
+                    continue
+            found = at
+            last[at + 1] = hit
+        path, end = [], len(word)
+        while end:
+            if (hit := last[end]) is None:
                 raise ValueError(f"no path for {word!r}")
-            path.append(token)
-            at -= len(self.labels[token])
-        return tuple(reversed(path))
+            path.append(hit[0])
+            end -= hit[1]
+        path.reverse()
+        return tuple(path)
 
 
 class Coder:
@@ -129,9 +141,8 @@ class Coder:
         self.find: Callable[[str], list[str]] = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.labels = automaton.labels | {i: x.encode() for x, i in added.items()}
-        #: A word's ids, the ids as text, and the labels that they emit.
-        self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return self.automaton, self.added, self.find.__self__.pattern
@@ -139,33 +150,27 @@ class Coder:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _coded(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
-        return ids, ",".join(map(str, ids)), b"".join(map(self.labels.__getitem__, ids))
-
-    def _word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
+    def _word(self, word: str) -> tuple[int, ...]:
         """Words found lately are kept: when the newer half is full, the older one goes."""
-        if (coded := self.older.get(word)) is None:
-            coded = self._coded(self.automaton.encode(word.encode("utf-8", "surrogatepass")))
+        if (ids := self.older.get(word)) is None:
+            ids = self.automaton.encode(word.encode("utf-8", "surrogatepass"))
         if len(word) <= 64:
             if len(self.known) >= KEPT_WORDS:
                 self.older, self.known = self.known, {}
-            self.known[word] = coded
-        return coded
+            self.known[word] = ids
+        return ids
 
-    def words(self, text: str | None) -> list[tuple[tuple[int, ...], str, bytes]]:
-        """The text's words and added tokens in order, each as its ids, these as text, and its bytes."""
-        out = []
+    def encode(self, text: str | None) -> list[int]:
+        out: list[int] = []
         for k, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
             if k % 2:
-                out.append(self._coded((self.added[part],)))
+                out.append(self.added[part])
                 continue
+            known = self.known
             for word in self.find(part):
-                out.append(self.known.get(word) or self._word(word))
+                out += known.get(word) or self._word(word)
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self.words(text) for i in ids]
-
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -192,19 +197,21 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     shared = spark.sparkContext.broadcast(load(vocabulary))
 
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = shared.value
+        coder, digits = shared.value, names
         columns: list[list] = [[], [], [], [], []]
+        if not digits:
+            digits.update((i, str(i)) for i in coder.labels)
         for text in batch.column(1).to_pylist():
-            words = coder.words(text)
-            decoded = b"".join([w[2] for w in words]).decode("utf-8", "replace")
-            ids = [i for w in words for i in w[0]] if with_ids else None
-            row = (sum([len(w[0]) for w in words]), _digest(",".join([w[1] for w in words]).encode()), _digest(decoded.encode("utf-8", "surrogatepass")))
+            ids = coder.encode(text)
+            decoded = coder.decode(ids)
+            row = (len(ids), _digest(",".join(map(digits.__getitem__, ids)).encode()), _digest(decoded.encode("utf-8", "surrogatepass")))
             for column, x in zip(columns, (*row, ids, decoded) if with_ids else row, strict=False):
                 column.append(x)
         kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.string()] if with_ids else [])]
         fields = ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], fields[: 1 + len(kinds)])
 
+    names: dict[int, str] = {}
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
