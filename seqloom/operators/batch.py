@@ -121,6 +121,7 @@ def sequences_from(spark: SparkSession, given: Mapping[str, str] | Iterable[tupl
 def manufacturing_rules() -> dict[str, Spec]:
     """What makers of DNA commonly ask for: no sites of cutting enzymes, no long runs, no short repeats, no hairpins, and a
     balanced share of G and C."""
+    # The patterns and limits that are commonly asked for.
     patterns = [*(f"{e}_site" for e in ("BsaI", "BsmBI", "BbsI", "SapI")), "9xA", "9xT", "6xG", "6xC", "5x3mer", "9x2mer"]
     rules: dict[str, Spec] = {f"no_{p.lower()}": AvoidPattern(p) for p in patterns}
     return rules | {"no_hairpin": AvoidHairpins(20, 200), "gc_window": EnforceGCContent(0.3, 0.7, window=100)}

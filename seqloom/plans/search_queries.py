@@ -65,6 +65,15 @@ def space_choices(spark, sf_dir):
     return rows.select("seq_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.size("variants").cast("long").alias("n"), F.get("variants", F.lit(0)).alias("first"))
 
 
+@query(f"""WITH {SUPPLIERS}, {sql.codons()}, y(c, s) AS (VALUES {_SYN}), k AS (SELECT seq_id, i, s FROM codons JOIN y USING (c) WHERE i < 20), j AS (SELECT unnest(generate_series(1, 3)) AS j),
+p AS (SELECT seq_id, i, j FROM k, j GROUP BY seq_id, i, j HAVING count(DISTINCT substr(s, j::INT, 1)) > 1), r AS (SELECT seq_id, i, min(j) AS a, max(j) AS b FROM p GROUP BY seq_id, i)
+SELECT k.seq_id, (3 * k.i + a - 1)::BIGINT AS start, (3 * k.i + b)::BIGINT AS "end", count(DISTINCT substr(s, a::INT, (b - a + 1)::INT))::BIGINT AS n FROM k JOIN r ON r.seq_id = k.seq_id AND r.i = k.i GROUP BY k.seq_id, k.i, a, b""")
+def varying_parts(spark, sf_dir):
+    """The part of each codon's choice that varies, without its constant flanks."""
+    rows = space.choices_table(suppliers(spark, sf_dir), [EnforceTranslation(place=(0, 60, 1))], split=True).where("start < 60 AND size(variants) > 1")
+    return rows.select("seq_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.size("variants").cast("long").alias("n"))
+
+
 @query(f"""WITH {SUPPLIERS}, {sql.codons()}, y(c, s) AS (VALUES {_SYN}), v AS (SELECT a.seq_id, x.s || z.s AS v FROM codons AS a JOIN codons AS b ON a.seq_id = b.seq_id AND b.i = 1 JOIN y AS x ON x.c = a.c JOIN y AS z ON z.c = b.c WHERE a.i = 0),
 k AS (SELECT seq_id, v FROM v WHERE regexp_full_match(substr(v, 3, 2), '[AG][ACGT]')) SELECT s.seq_id, count(v)::BIGINT AS n, coalesce(string_agg(v, ',' ORDER BY v), '') AS variants FROM seqs AS s LEFT JOIN k ON k.seq_id = s.seq_id GROUP BY s.seq_id""")
 def merged_choices(spark, sf_dir):
@@ -175,3 +184,11 @@ def random_search(spark, sf_dir):
     """Spaces too large for all variants: random steps raise the share of G and C to a limit; the state before is kept."""
     found = solver.solve(suppliers(spark, sf_dir), [EnforceGCContent(mini=0.9)])
     return found.select("seq_id", r6(F.col("failing_before")).alias("failing_before"), "status", (dna.gc_fraction(F.col("q")) >= 0.9).alias("better"))
+
+
+@query(f"WITH {SUPPLIERS}, {sql.codons()}, y(c, s) AS (VALUES {_SYN}), n AS (SELECT seq_id, i, count(*) AS n FROM codons JOIN y USING (c) WHERE i < 20 GROUP BY seq_id, i) SELECT seq_id, (3 * min(i) FILTER (WHERE n > 1))::BIGINT AS first, (3 * max(i) FILTER (WHERE n > 1) + 3)::BIGINT AS last, count(*) FILTER (WHERE n = 1)::BIGINT AS determined FROM n GROUP BY seq_id")
+def space_span(spark, sf_dir):
+    """From the first to the last place of a coding region where there is a choice, and the codons without one."""
+    rows = space.choices_table(suppliers(spark, sf_dir), [EnforceTranslation(place=(0, 60, 1))]).where("start < 60")
+    open_ = F.size("variants") > 1
+    return rows.groupBy("seq_id").agg(F.min(F.when(open_, F.col("start"))).cast("long").alias("first"), F.max(F.when(open_, F.col("end"))).cast("long").alias("last"), F.count_if(~open_).alias("determined"))
