@@ -160,7 +160,7 @@ def alignment_specification(spark, sf_dir):
 def indexed_matches(spark, sf_dir):
     """Exact matches against a bucketed table of words."""
     name = f"seqloom_words_{uuid.uuid4().hex}"
-    homology.write_index(_nations(spark, sf_dir), name, 6, buckets=4)
+    homology.write_index(_nations(spark, sf_dir), name, 6, buckets=4, path=folder(spark, "index"))
     return homology.exact_matches_in(suppliers(spark, sf_dir), name, 6).select("seq_id", F.col("at").cast("long").alias("at"))
 
 
