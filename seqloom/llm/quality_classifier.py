@@ -52,6 +52,12 @@ def statistics(text: Column) -> dict[str, Callable[[Column], Column]]:
     }
 
 
+def summed(terms: list[Column]) -> Column:
+    """The sum of terms, by halves: its depth is the logarithm of their number, where Spark recurses over expressions."""
+    half = len(terms) // 2
+    return terms[0] if len(terms) == 1 else summed(terms[:half]) + summed(terms[half:])
+
+
 def described(text: Column) -> Column:
     """The statistics as one struct."""
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
@@ -115,13 +121,13 @@ class RuleModel:
         return once(stats, self._of)
 
     def _of(self, stats: Column) -> Column:
-        total = F.lit(self.bias)
+        terms = [F.lit(self.bias)]
         for rule, weight in zip(self.rules, self.weights, strict=True):
             test = F.lit(True)
             for f, low, cut in rule:
                 test = test & (stats[self.names[f]] <= cut if low else stats[self.names[f]] > cut)
-            total = total + F.when(test, weight).otherwise(0.0)
-        return 1 / (1 + F.exp(-total))
+            terms.append(F.when(test, weight).otherwise(0.0))
+        return 1 / (1 + F.exp(-summed(terms)))
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, depth: int = 3, penalty: float = 0.002, seed: int = 5) -> RuleModel:

@@ -91,3 +91,17 @@ def test_statistics_against_a_plain_form(spark):
         assert set(want) == set(r["s"].asDict())
         for name, x in want.items():
             assert abs(r["s"][name] - x) < 1e-9, (name, texts[r["i"]][:80])
+
+
+def test_as_many_rules_as_a_fit_can_make(spark):
+    """30 trees of depth 3 have 420 rules at most; labels that texts don't explain keep most of them."""
+    rng = random.Random(1)
+    names = list(q.statistics(F.col("text")))
+    rules = [tuple((rng.randrange(len(names)), rng.random() < 0.5, rng.random()) for _ in range(3)) for _ in range(420)]
+    docs = cases.docs(spark)
+    model = q.RuleModel(names, rules, [rng.random() - 0.5 for _ in rules], 0.1)
+    rows = docs.select(q.described(F.coalesce("text", F.lit(""))).alias("s")).select("s.*", model.score(F.col("s")).alias("score")).collect()
+    x = np.array([[r[n] for n in names] for r in rows])
+    want = 1 / (1 + np.exp(-(model.bias + sum(w * q.holds(r, x) for r, w in zip(rules, model.weights, strict=True)))))
+    assert np.allclose([r["score"] for r in rows], want)
+    assert q.kept_rows(docs, model).count() == (want >= 0.5).sum()
